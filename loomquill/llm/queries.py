@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, prefix_forest, quality, secrets, token_count
+from . import chat, decontaminate, licenses, mixing_lm, prefix_forest, quality, secrets, token_count
 from .spark import crc_mod
 
 
@@ -28,6 +28,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return prefix_forest.search(rows, rows.filter(F.col("vec_id") % 20 == 0))
@@ -61,6 +65,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_lm_scores": op2_lm_scores,
     "op3_neighbours": op3_neighbours,
     "op5_secrets": op5_secrets,
     "op7_licenses": op7_licenses,
