@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing_lm, prefix_forest, quality, secrets, token_count
+from . import chat, decontaminate, licenses, mixing_lm, neardup, prefix_forest, quality, secrets, token_count
 from .spark import crc_mod
 
 
@@ -37,6 +37,10 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.search(rows, rows.filter(F.col("vec_id") % 20 == 0))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_first")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_lm_scores": op2_lm_scores,
     "op3_neighbours": op3_neighbours,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_secrets": op5_secrets,
     "op7_licenses": op7_licenses,
     "op8_decontamination": op8_decontamination,
