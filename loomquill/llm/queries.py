@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing_lm, neardup, prefix_forest, quality, secrets, token_count
+from . import chat, decontaminate, licenses, mixing_lm, neardup, pieces, prefix_forest, quality, secrets, token_count
 from .spark import crc_mod
 
 
@@ -45,6 +45,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neighbours": op3_neighbours,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_secrets": op5_secrets,
+    "op6_pieces": op6_pieces,
     "op7_licenses": op7_licenses,
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
