@@ -61,7 +61,10 @@ class Vocabulary:
         n = model.get_piece_size()
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         by_byte = {model.id_to_piece(i): i for i in range(n) if model.is_byte(i)}
-        return cls([model.id_to_piece(i) for i in plain], plain, [model.get_score(i) for i in plain], [by_byte[f"<0x{b:02X}>"] for b in range(256)])
+        scores = [model.get_score(i) for i in plain]
+        # Some files give runs of word marks a score of minus a billion, for "after all others": here one less than the least.
+        least = min((s for s in scores if s > -1e8), default=0.0) - 1
+        return cls([model.id_to_piece(i) for i in plain], plain, [max(s, least) for s in scores], [by_byte[f"<0x{b:02X}>"] for b in range(256)])
 
 
 class Lattice:
@@ -71,7 +74,7 @@ class Lattice:
         self.byte_of = {i: b for b, i in enumerate(v.byte_ids)}
         self.byte_ids = v.byte_ids
         self.longest = max(map(len, v.pieces))
-        self.unknown = min((s for s in v.scores if s > -1e8), default=0.0) - _UNKNOWN_PENALTY
+        self.unknown = min(v.scores, default=0.0) - _UNKNOWN_PENALTY
         if any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p in v.pieces):
             raise ValueError("pieces cross word marks or line feeds: texts cannot be cut there")
         hashes = np.array([self._hash(p) for p in v.pieces], np.uint64)
