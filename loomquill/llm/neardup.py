@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .components import components
-from .spark import need, shared_checkpoint
+from .spark import need, partitions, shared_checkpoint
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 3
 #: log2 of the document-frequency table's size.
@@ -215,7 +215,7 @@ def verified(texts: DataFrame, weights, threshold: float) -> DataFrame:
                 held[key] = block, text
         yield from close()
 
-    return texts.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a binary, b binary")
+    return texts.repartition(partitions(texts.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, members: int = 1000, shingles: int = 4_000_000, most_broadcast: int = 200_000) -> DataFrame:
