@@ -112,6 +112,11 @@ def merge(existing: DataFrame, incoming: DataFrame, now: Column, deprecate_verif
     """
     columns = existing.columns
     incoming = incoming.dropDuplicates(["category", "title", "body"])
+    # What a live draft says word for word is only confirmed.
+    own = ["category", "title", "body"]
+    drafts = existing.filter("status = 'D'").select(*own).distinct()
+    again = incoming.join(drafts, own, "left_semi").select(*own).withColumn("__again", F.lit(True))
+    incoming = incoming.join(drafts, own, "left_anti")
     mine = existing.withColumn("title_key", title_key(F.col("title")))
     marked = classify(existing, incoming)
     events = marked.groupBy(*KEY).agg(
@@ -119,19 +124,20 @@ def merge(existing: DataFrame, incoming: DataFrame, now: Column, deprecate_verif
         F.max((F.col("action") == "conflict").cast("int")).alias("clash"),
         F.array_sort(F.collect_set(F.when(F.col("action") == "supplement", F.col("body")))).alias("more"),
     )
-    held = mine.join(events, list(KEY), "left")
-    draft, verified = F.col("status") == "D", F.col("status") == "V"
-    hit = F.coalesce(F.col("clash"), F.lit(0)) == 1
-    fresh = F.filter(F.coalesce("more", F.expr("cast(array() as array<string>)")), lambda b: ~F.contains(F.col("body"), b))
-    kept = held.select(
-        *[F.col(c) for c in columns if c not in ("status", "body", "updated_at")],
-        F.when(hit & (draft | (verified & F.lit(bool(deprecate_verified)))), F.lit("X")).otherwise(F.col("status")).alias("status"),
-        F.when(draft & ~hit & (F.size(fresh) > 0), F.concat_ws("\n", F.col("body"), F.array_join(fresh, "\n"))).otherwise(F.col("body")).alias("body"),
-        F.when((draft & ((F.coalesce("dup", F.lit(0)) == 1) | hit | (F.size(fresh) > 0))) | (verified & hit & F.lit(bool(deprecate_verified))), now).otherwise(F.col("updated_at")).alias("updated_at"),
+    held = mine.join(again, own, "left").join(events, list(KEY), "left").withColumnsRenamed({"status": "__status", "body": "__body", "updated_at": "__updated"})
+    lacking = F.filter(F.coalesce("more", F.expr("cast(array() as array<string>)")), lambda b: ~F.contains(F.coalesce("__body", F.lit("")), b))
+    held = held.withColumns({"__fresh": lacking, "__hit": F.coalesce("clash", F.lit(0)) == 1, "__same": (F.coalesce("dup", F.lit(0)) == 1) | F.coalesce("__again", F.lit(False))})
+    draft, hit, more = F.col("__status") == "D", F.col("__hit"), F.size("__fresh") > 0
+    fallen = hit & (draft | ((F.col("__status") == "V") & F.lit(deprecate_verified)))
+    kept = held.withColumns(
+        {
+            "status": F.when(fallen, "X").otherwise(F.col("__status")),
+            "body": F.when(draft & ~hit & more, F.concat_ws("\n", "__body", F.array_join("__fresh", "\n"))).otherwise(F.col("__body")),
+            "updated_at": F.when(fallen | (draft & (F.col("__same") | more)), now).otherwise(F.col("__updated")),
+        }
     ).select(*columns)
     beside = marked.filter((F.col("action").isin("new", "conflict")) | ((F.col("action") == "supplement") & (F.col("old_status") == "V")))
-    drafts = mine.filter("status = 'D'").select("category", "title", "body").distinct()
-    added = beside.join(drafts, ["category", "title", "body"], "left_anti").withColumns({"status": F.lit("D"), "created_at": now, "updated_at": now})
+    added = beside.withColumns({"status": F.lit("D"), "created_at": now, "updated_at": now})
     return kept.unionByName(added.select(*columns))
 
 

@@ -193,8 +193,8 @@ def headings_extractor(turn_rows: pd.DataFrame) -> list[dict]:
         for line in (text or "").splitlines():
             category, colon, rest = line.partition(": ")
             title, dash, body = rest.partition(" - ")
-            if colon and dash and category.strip("# *").lower() in CATEGORIES:
-                out.append({"category": category.strip("# *").lower(), "section": "", "title": title.strip(), "body": body.strip()})
+            if colon and dash and category.strip("#-* ").lower() in CATEGORIES:
+                out.append({"category": category.strip("#-* ").lower(), "section": "", "title": title.strip(), "body": body.strip()})
     return out
 
 

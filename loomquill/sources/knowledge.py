@@ -83,7 +83,7 @@ def read_tickets(spark: SparkSession, path: str) -> DataFrame:
     blockers = F.transform(F.filter(F.split(field("Blocked by"), r"[^0-9]+"), lambda x: x != ""), lambda x: x.cast("int"))
     status = F.lower(strip(field("Status")))
     return files.select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)-", 1).cast("int").alias("number"), F.when(status == "", "open").otherwise(status).alias("status"), F.nullif(F.lower(strip(field("Type"))), F.lit("")).alias("type"), blockers.alias("blocked_by")
+        F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)-", 1).try_cast("int").alias("number"), F.when(status == "", "open").otherwise(status).alias("status"), F.nullif(F.lower(strip(field("Type"))), F.lit("")).alias("type"), blockers.alias("blocked_by")
     ).filter("number is not null")
 
 

@@ -102,7 +102,7 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.option("pathGlobFilter", "conversation-*.md").text(path, wholetext=True)
     name = F.col("_metadata.file_name")
     pattern = r"^conversation-(\d{8})-(\d+)\.md$"
-    return files.select(name.alias("file"), F.try_to_date(F.regexp_extract(name, pattern, 1), "yyyyMMdd").alias("day"), F.regexp_extract(name, pattern, 2).cast("int").alias("number"), F.col("value").alias("text")).filter(F.col("number").isNotNull())
+    return files.select(name.alias("file"), F.try_to_date(F.regexp_extract(name, pattern, 1), "yyyyMMdd").alias("day"), F.regexp_extract(name, pattern, 2).try_cast("int").alias("number"), F.col("value").alias("text")).filter(F.col("number").isNotNull())
 
 
 def from_memory(rows: DataFrame) -> DataFrame:
