@@ -218,7 +218,7 @@ def verified(texts: DataFrame, weights, threshold: float) -> DataFrame:
     return texts.repartition(partitions(texts.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, members: int = 1000, shingles: int = 4_000_000, most_broadcast: int = 200_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, members: int = 300, shingles: int = 2_000_000, most_broadcast: int = 200_000) -> DataFrame:
     """One row a document: ``doc_id, text_key, class_id, is_first``.
 
     ``class_id`` is the smallest ``doc_id`` of the document's class, whose texts
