@@ -61,7 +61,7 @@ def _slot(h: np.ndarray) -> np.ndarray:
 class Weights:
     """IDF by hashed shingle: a table of 2^20 numbers, whatever the corpus."""
 
-    def __init__(self, df: np.ndarray, rows: int, spread: float = 0.25):
+    def __init__(self, df: np.ndarray, rows: int, spread: float = 0.15):
         self.idf = (1 + spread * np.log((rows + 1) / (np.minimum(df, rows) + 1)) / max(np.log(rows + 1), 1e-9)).astype(np.float32)
         self.log_idf = np.log(self.idf)
         self.log_tf = np.log(np.arange(1, 4097, dtype=np.float32))
@@ -91,7 +91,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     schema = "k int, data binary"
     total, rows = np.zeros(1 << _DF_BITS, np.int64), 0
-    for k, data in need(docs, text="string").mapInArrow(count, schema).repartition("k").mapInArrow(add, schema).toLocalIterator():
+    for k, data in need(docs, text="string").mapInArrow(count, schema).repartition("k").mapInArrow(add, schema).collect():
         if k < 0:
             rows = int(np.frombuffer(data, np.int64)[0])
         else:

@@ -21,7 +21,7 @@ def similarities(rows):
     bags = {t: bag(t) for _, t in rows}
     df = Counter(s for _, t in rows for s in bags[t])
     n = len(rows)
-    idf = {s: 1 + 0.25 * math.log((n + 1) / (k + 1)) / math.log(n + 1) for s, k in df.items()}
+    idf = {s: 1 + 0.15 * math.log((n + 1) / (k + 1)) / math.log(n + 1) for s, k in df.items()}
     out = {}
     for a, b in itertools.combinations(sorted(bags, key=str), 2):
         both = set(bags[a]) | set(bags[b])
