@@ -29,10 +29,13 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The winners' (id, text key) pairs are distinct, and so are the rows that
     meet them once equal rows are counted as one.
     """
-    first = neardup.near_duplicates(docs).filter("is_first").select("doc_id", "text_key").distinct()
+    first = neardup.near_duplicates(docs).filter("is_first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key")).distinct()
     keyed = docs.withColumn("__key", neardup.text_key())
-    kept = keyed.join(first.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key")), (F.col("__key") == F.col("__text_key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    return kept.dropDuplicates(["__id", "__text_key"]).select(*docs.columns)
+    # Text keys are distinct in ``first``: the join is by them alone, ids are compared after it, so that equal rows
+    # are counted as one in the partitions the join has made.
+    same_id = F.coalesce(F.col("doc_id").cast("long") - F.col("__id"), F.when(F.col("doc_id").isNull() & F.col("__id").isNull(), 0).otherwise(1)) == 0
+    kept = keyed.join(first, F.col("__key") == F.col("__text_key")).filter(same_id)
+    return kept.dropDuplicates(["__text_key"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
