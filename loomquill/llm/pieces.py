@@ -24,8 +24,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections import Counter
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,9 +39,10 @@ MARK = "▁"
 _LINK = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 #: Links longer than this are solved one at a time.
 _LONG = 40
-_MOST_LINKS = 200_000
+_MOST_LINKS = 150_000
 _UNKNOWN_PENALTY = 10.0
-_P = np.uint64(0x100000001B3)
+_P, _SPREAD = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
+_MAY_BITS = 20
 
 
 @dataclass
@@ -79,11 +80,16 @@ class Lattice:
             raise ValueError("pieces cross word marks or line feeds: texts cannot be cut there")
         hashes = np.array([self._hash(p) for p in v.pieces], np.uint64)
         order = np.argsort(hashes)
-        self.hashes, self.hash_ids = hashes[order], np.array(v.ids, np.int64)[order]
+        self.hashes, self.hash_ids = hashes[order], np.array(v.ids, np.int32)[order]
         self.hash_scores = np.array(v.scores)[order]
+        self.may_be = np.zeros(1 << _MAY_BITS, bool)
+        self.may_be[self.hashes * _SPREAD >> np.uint64(64 - _MAY_BITS)] = True
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces share a hash")
-        self.solved: dict[str, tuple[float, float, tuple[int, ...]]] = {}
+        #: Of each link: best score, the best detour's loss, the best path's ids as little-endian int32, their text.
+        self.solved: dict[str, tuple[float, float, bytes, str]] = {}
+        #: The generation before: what is used again comes back from here, the rest is forgotten with it.
+        self.older: dict[str, tuple[float, float, bytes, str]] = {}
         self.paths: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
 
     @staticmethod
@@ -91,7 +97,7 @@ class Lattice:
         h = 0
         for c in piece:
             h = (h * int(_P) + ord(c) + 1) % (1 << 64)
-        return int(T.mix(np.array([h], np.uint64))[0])
+        return h
 
     def spell(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in char.encode())
@@ -124,12 +130,17 @@ class Lattice:
         return out
 
     def solve(self, links: list[str]) -> None:
-        """Best score, best detour's loss and best ids of each link, kept in ``solved``."""
-        new = [x for x in links if x not in self.solved]
-        if len(self.solved) + len(new) > _MOST_LINKS:
-            self.solved.clear()
+        """Puts all of ``links`` into ``solved``."""
+        if len(self.solved) > _MOST_LINKS:
+            self.older, self.solved = self.solved, {}
             self.paths.clear()
-            new = links
+        new = []
+        for x in links:
+            if x not in self.solved:
+                if x in self.older:
+                    self.solved[x] = self.older[x]
+                else:
+                    new.append(x)
         by_size: dict[int, list[str]] = {}
         for x in new:
             by_size.setdefault(len(x), []).append(x)
@@ -137,77 +148,97 @@ class Lattice:
             if size > _LONG:
                 for x in group:
                     two = self.n_best(x, 2)
-                    self.solved[x] = two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf, two[0][1]
+                    self._keep(x, two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf, two[0][1])
                 continue
-            for at in range(0, len(group), 4096):
-                self._solve_equal(group[at : at + 4096], size)
+            for at in range(0, len(group), 1024):
+                self._solve_equal(group[at : at + 1024], size)
+
+    def _keep(self, link: str, best: float, loss: float, ids: tuple[int, ...]) -> None:
+        self.solved[link] = best, loss, struct.pack(f"<{len(ids)}i", *ids), self._join(ids)
 
     def _solve_equal(self, group: list[str], size: int) -> None:
+        """Forward and backward Viterbi over links of ``size`` characters, side by side: arrays are node or start by link."""
         n = len(group)
-        codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64) + np.uint64(1)
+        codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T.astype(np.uint64) + np.uint64(1)
         most = min(self.longest, size)
-        score = np.full((most + 1, n, size), -np.inf)  # by piece length and start
-        ids = np.full((most + 1, n, size), -1, np.int64)
-        h = np.zeros((n, size), np.uint64)
+        score = np.full((most + 1, size, n), -np.inf)  # by piece length, start, link
+        ids = np.full((most + 1, size, n), -1, np.int32)
+        h = np.zeros((size, n), np.uint64)
         for length in range(1, most + 1):
-            h = h[:, : size - length + 1] * _P + codes[:, length - 1 :]
-            mixed = T.mix(h)
-            at = np.minimum(np.searchsorted(self.hashes, mixed), len(self.hashes) - 1)
-            hit = self.hashes[at] == mixed
-            score[length, :, : size - length + 1] = np.where(hit, self.hash_scores[at], self.unknown if length == 1 else -np.inf)
-            ids[length, :, : size - length + 1] = np.where(hit, self.hash_ids[at], -1)
-        ahead = np.full((n, size + 1), -np.inf)
-        ahead[:, 0] = 0
-        took = np.zeros((n, size + 1), np.int64)
+            h = h[: size - length + 1] * _P + codes[length - 1 :]
+            to_score, to_ids = score[length, : size - length + 1], ids[length, : size - length + 1]
+            if length == 1:
+                to_score[:] = self.unknown
+            # Most strings are no pieces: a table of bits tells, the search is for the rest.
+            maybe = np.nonzero(self.may_be[h * _SPREAD >> np.uint64(64 - _MAY_BITS)])
+            sought = h[maybe]
+            at = np.minimum(np.searchsorted(self.hashes, sought), len(self.hashes) - 1)
+            hit = self.hashes[at] == sought
+            where = maybe[0][hit], maybe[1][hit]
+            to_score[where], to_ids[where] = self.hash_scores[at[hit]], self.hash_ids[at[hit]]
+        ahead = np.full((size + 1, n), -np.inf)
+        ahead[0] = 0
+        took = np.zeros((size + 1, n), np.int64)
         for end in range(1, size + 1):
-            lengths = np.arange(min(most, end), 0, -1)
-            ways = np.stack([ahead[:, end - k] + score[k, :, end - k] for k in lengths])
-            pick = ways.argmax(axis=0)
-            ahead[:, end], took[:, end] = ways[pick, np.arange(n)], lengths[pick]
-        behind = np.full((n, size + 1), -np.inf)
-        behind[:, size] = 0
+            for k in range(min(most, end), 0, -1):
+                way = ahead[end - k] + score[k, end - k]
+                better = way > ahead[end]
+                np.copyto(ahead[end], way, where=better)
+                np.copyto(took[end], k, where=better)
+        behind = np.full((size + 1, n), -np.inf)
+        behind[size] = 0
         for start in range(size - 1, -1, -1):
-            behind[:, start] = np.max([score[k, :, start] + behind[:, start + k] for k in range(1, min(most, size - start) + 1)], axis=0)
-        rows, node = np.arange(n), np.full(n, size)
-        path = np.full((n, size), -2, np.int64)
-        detours = np.full((most + 1, n, size), -np.inf)
-        for k in range(1, most + 1):
-            detours[k, :, : size - k + 1] = ahead[:, : size - k + 1] + score[k, :, : size - k + 1] + behind[:, k:]
-        while (node > 0).any():
-            live = rows[node > 0]
-            k = took[live, node[live]]
+            for k in range(1, min(most, size - start) + 1):
+                np.maximum(behind[start], score[k, start] + behind[start + k], out=behind[start])
+        every, node = np.arange(n), np.full(n, size)
+        path = np.full((n, size), -2, np.int32)
+        for k in range(1, most + 1):  # from here on the score of the best path through a piece
+            score[k, : size - k + 1] += ahead[: size - k + 1] + behind[k:]
+        while len(live := every[node > 0]):
+            k = took[node[live], live]
             start = node[live] - k
-            path[live, start] = ids[k, live, start]
-            detours[k, live, start] = -np.inf
+            path[live, start] = ids[k, start, live]
+            score[k, start, live] = -np.inf
             node[live] = start
-        loss = ahead[:, size] - detours.max(axis=(0, 2))
-        for x, best, lost, row in zip(group, ahead[:, size].tolist(), loss.tolist(), path.tolist()):
-            if -1 in row:
-                found = tuple(i for at, p in enumerate(row) if p != -2 for i in ((p,) if p >= 0 else self.spell(x[at])))
+        loss = (ahead[size] - score.max(axis=(0, 1))).tolist()
+        best = ahead[size].tolist()
+        spelt = (path == -1).any(axis=1)
+        taken = path[path != -2]
+        cut_at = np.concatenate([[0], np.cumsum((path != -2).sum(axis=1))]).tolist()
+        for k, x in enumerate(group):
+            if spelt[k]:
+                row = path[k].tolist()
+                self._keep(x, best[k], loss[k], tuple(i for at, p in enumerate(row) if p != -2 for i in ((p,) if p >= 0 else self.spell(x[at]))))
             else:
-                found = tuple(p for p in row if p >= 0)
-            self.solved[x] = best, lost, found
+                own = taken[cut_at[k] : cut_at[k + 1]]
+                self.solved[x] = best[k], loss[k], own.tobytes(), "".join([self.text_of[i] for i in own.tolist()])
 
-    def encode(self, text: str, n: int) -> tuple[list[int], list[float]]:
-        """The best path's ids and the scores of the ``n`` best paths (fewer, if there are fewer), of links that are all solved."""
-        links = cut(text)
-        ids: list[int] = []
-        for x in links:
-            ids += self.solved[x][2]
-        count = Counter(links)
-        total = sum(self.solved[x][0] * k for x, k in count.items())
-        near = heapq.nsmallest(n - 1, ((self.solved[x][1], x, k) for x, k in count.items() if self.solved[x][1] < np.inf))
+    def encode(self, links: list[str], n: int) -> tuple[bytes, list[float], str]:
+        """Of a text cut into solved links: the best path's ids (little-endian int32), the scores of the ``n`` best paths (or of all), and what `decode` gives for the ids.
+
+        Links decode one by one: no character is spelt across links.
+        """
+        known = self.solved
+        got = [known[x] for x in links]
+        total, loss = sum([g[0] for g in got]), [g[1] for g in got]
         losses = [0.0]
-        for _, x, k in near:
+        # Links of the n - 1 smallest detours, each as often as it stands.
+        for k in np.argsort(loss, kind="stable")[: n - 1] if len(loss) < 4 * n else sorted(np.argpartition(loss, n - 1)[: n - 1]):
+            if loss[k] == np.inf:
+                continue
+            x = links[k]
             if (x, n) not in self.paths:
                 self.paths[x, n] = self.n_best(x, n)
             scores = [s for s, _ in self.paths[x, n]]
-            for _ in range(min(k, n - 1)):
-                losses = heapq.nsmallest(n, (a + scores[0] - s for a in losses for s in scores))
-        return ids, [total - x for x in losses]
+            losses = heapq.nsmallest(n, (a + scores[0] - s for a in losses for s in scores))
+        text = "".join([g[3] for g in got]).replace(MARK, " ")[1:]
+        return b"".join([g[2] for g in got]), [total - x for x in losses], text
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: pieces joined, byte pieces taken as UTF-8, marks back to spaces, the first one dropped."""
+        return self._join(ids).replace(MARK, " ")[1:]
+
+    def _join(self, ids: Iterable[int]) -> str:
         out, held = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -219,7 +250,12 @@ class Lattice:
             out.append(self.text_of[i])
         if held:
             out.append(held.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ")[1:]
+        return "".join(out)
+
+
+def _lists(packed: list[bytes]) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
 
 def cut(text: str) -> list[str]:
@@ -231,7 +267,7 @@ def encode(docs: DataFrame, path: str, n: int = 4, with_ids: bool = False) -> Da
     """Per row: ``doc_id, n_bytes, n_pieces, scores, ids_sha256, round_trip``, and ``ids`` where asked for.
 
     ``scores`` are those of the ``n`` best segmentations, best first; ``ids`` is
-    the best one; ``ids_sha256`` the digest of its ids, comma-joined;
+    the best one; ``ids_sha256`` the digest of its ids as little-endian int32;
     ``round_trip`` tells that decoding gives the text back (a text that holds
     the word mark itself does not: the mark comes back as a space).  Null text
     counts as empty: no pieces, one segmentation of score 0.  Repeated rows and
@@ -246,18 +282,19 @@ def encode(docs: DataFrame, path: str, n: int = 4, with_ids: bool = False) -> Da
         for batch in batches:
             for a, b in T.pieces(batch.column(1), 1 << 20):
                 texts = [x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]
-                lattice.solve(list(dict.fromkeys(x for t in texts for x in cut(t))))
-                got = [lattice.encode(t, n) for t in texts]
-                ids = [x for x, _ in got]
+                links = [cut(t) for t in texts]
+                lattice.solve(list(set().union(*links)))
+                got = [lattice.encode(x, n) for x in links]
+                packed = [x for x, _, _ in got]
                 columns = [
                     batch.column(0).slice(a, b - a),
                     pa.array([len(t.encode()) for t in texts], pa.int64()),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([s for _, s in got], pa.list_(pa.float64())),
-                    pa.array([hashlib.sha256(str(x)[1:-1].replace(" ", "").encode()).hexdigest() for x in ids], pa.string()),
-                    pa.array([lattice.decode(x) == t for x, t in zip(ids, texts)], pa.bool_()),
+                    pa.array([len(x) // 4 for x in packed], pa.int64()),
+                    pa.array([s for _, s, _ in got], pa.list_(pa.float64())),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()),
+                    pa.array([back == t for (_, _, back), t in zip(got, texts)], pa.bool_()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=names)
+                yield pa.RecordBatch.from_arrays(columns + ([_lists(packed)] if with_ids else []), names=names)
 
     schema = "doc_id long, n_bytes long, n_pieces long, scores array<double>, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
     return need(docs, doc_id="long", text="string").mapInArrow(run, schema)
