@@ -86,11 +86,16 @@ class Lattice:
         self.may_be[self.hashes * _SPREAD >> np.uint64(64 - _MAY_BITS)] = True
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces share a hash")
-        #: Of each link: best score, the best detour's loss, the best path's ids as little-endian int32, their text.
-        self.solved: dict[str, tuple[float, float, bytes, str]] = {}
+        #: Of each link: best score, the best detour's loss, the best path's ids as little-endian int32.
+        self.solved: dict[str, tuple[float, float, bytes]] = {}
         #: The generation before: what is used again comes back from here, the rest is forgotten with it.
-        self.older: dict[str, tuple[float, float, bytes, str]] = {}
-        self.paths: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
+        self.older: dict[str, tuple[float, float, bytes]] = {}
+        self.paths: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
+        #: By id: the piece, and whether it is one of the byte pieces.
+        self.piece_of = np.full(max(v.ids + v.byte_ids) + 1, "", object)
+        self.piece_of[v.ids] = v.pieces
+        self.is_byte = np.zeros(len(self.piece_of), bool)
+        self.is_byte[v.byte_ids] = True
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -154,7 +159,7 @@ class Lattice:
                 self._solve_equal(group[at : at + 1024], size)
 
     def _keep(self, link: str, best: float, loss: float, ids: tuple[int, ...]) -> None:
-        self.solved[link] = best, loss, struct.pack(f"<{len(ids)}i", *ids), self._join(ids)
+        self.solved[link] = best, loss, struct.pack(f"<{len(ids)}i", *ids)
 
     def _solve_equal(self, group: list[str], size: int) -> None:
         """Forward and backward Viterbi over links of ``size`` characters, side by side: arrays are node or start by link."""
@@ -211,28 +216,46 @@ class Lattice:
                 self._keep(x, best[k], loss[k], tuple(i for at, p in enumerate(row) if p != -2 for i in ((p,) if p >= 0 else self.spell(x[at]))))
             else:
                 own = taken[cut_at[k] : cut_at[k + 1]]
-                self.solved[x] = best[k], loss[k], own.tobytes(), "".join([self.text_of[i] for i in own.tolist()])
+                self.solved[x] = best[k], loss[k], own.tobytes()
 
     def encode(self, links: list[str], n: int) -> tuple[bytes, list[float], str]:
-        """Of a text cut into solved links: the best path's ids (little-endian int32), the scores of the ``n`` best paths (or of all), and what `decode` gives for the ids.
+        """Of a text cut into solved links: the best path's ids (little-endian int32), the scores of the ``n`` best paths (or of all), and the text of the best path's ids."""
+        packed, scores = self.encode_all(links, n)
+        return packed[0], scores, self.decode_packed(packed[0])
 
-        Links decode one by one: no character is spelt across links.
-        """
+    def encode_all(self, links: list[str], n: int) -> tuple[list[bytes], list[float]]:
+        """Of a text cut into solved links: the ids (little-endian int32) and the scores of its ``n`` best paths (or of all), best first."""
         known = self.solved
         got = [known[x] for x in links]
         total, loss = sum([g[0] for g in got]), [g[1] for g in got]
-        losses = [0.0]
+        merged: list[tuple[float, tuple]] = [(0.0, ())]  # loss, and (link, its ids) where they differ from the best path's
         # Links of the n - 1 smallest detours, each as often as it stands.
-        for k in np.argsort(loss, kind="stable")[: n - 1] if len(loss) < 4 * n else sorted(np.argpartition(loss, n - 1)[: n - 1]):
+        for k in np.argsort(loss, kind="stable")[: n - 1].tolist() if len(loss) < 4 * n else sorted(np.argpartition(loss, n - 1)[: n - 1].tolist()):
             if loss[k] == np.inf:
                 continue
-            x = links[k]
-            if (x, n) not in self.paths:
-                self.paths[x, n] = self.n_best(x, n)
-            scores = [s for s, _ in self.paths[x, n]]
-            losses = heapq.nsmallest(n, (a + scores[0] - s for a in losses for s in scores))
-        text = "".join([g[3] for g in got]).replace(MARK, " ")[1:]
-        return b"".join([g[2] for g in got]), [total - x for x in losses], text
+            detours = self._detours(links[k], n, got[k][2])
+            merged = heapq.nsmallest(n, merged + [(a + more, taken + ((k, ids),)) for a, taken in merged for more, ids in detours], key=lambda x: x[0])
+        best, packed = [g[2] for g in got], []
+        for _, taken in merged:
+            parts = best.copy() if taken else best
+            for k, ids in taken:
+                parts[k] = ids
+            packed.append(b"".join(parts))
+        return packed, [total - x for x, _ in merged]
+
+    def _detours(self, link: str, n: int, own: bytes) -> list[tuple[float, bytes]]:
+        """Loss and packed ids of the ``n - 1`` best paths of a link other than ``own``, its best one."""
+        if (link, n) not in self.paths:
+            found = [(s, struct.pack(f"<{len(ids)}i", *ids)) for s, ids in self.n_best(link, n)]
+            self.paths[link, n] = [(found[0][0] - s, ids) for s, ids in found if ids != own][: n - 1]
+        return self.paths[link, n]
+
+    def decode_packed(self, packed: bytes) -> str:
+        """`decode` of little-endian int32 ids."""
+        ids = np.frombuffer(packed, "<i4")
+        if self.is_byte[ids].any():
+            return self.decode(ids.tolist())
+        return "".join(self.piece_of[ids].tolist()).replace(MARK, " ")[1:]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: pieces joined, byte pieces taken as UTF-8, marks back to spaces, the first one dropped."""
@@ -263,19 +286,20 @@ def cut(text: str) -> list[str]:
     return _LINK.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def encode(docs: DataFrame, path: str, n: int = 4, with_ids: bool = False) -> DataFrame:
-    """Per row: ``doc_id, n_bytes, n_pieces, scores, ids_sha256, round_trip``, and ``ids`` where asked for.
+def encode(docs: DataFrame, path: str, n: int = 4, with_ids: bool = False, with_all: bool = False) -> DataFrame:
+    """Per row: ``doc_id, n_bytes, n_pieces, scores, ids_sha256, all_sha256, round_trip``, and ``ids`` and ``all_ids`` where asked for.
 
-    ``scores`` are those of the ``n`` best segmentations, best first; ``ids`` is
-    the best one; ``ids_sha256`` the digest of its ids as little-endian int32;
-    ``round_trip`` tells that decoding gives the text back (a text that holds
-    the word mark itself does not: the mark comes back as a space).  Null text
-    counts as empty: no pieces, one segmentation of score 0.  Repeated rows and
-    null ids pass through; an empty table gives an empty result; other columns
-    are left out.  Memory: one piece of a batch and a bounded memo.
+    ``scores`` and ``all_ids`` are those of the ``n`` best segmentations, best
+    first; ``ids`` is the best one; ``ids_sha256`` the digest of its ids as
+    little-endian int32, ``all_sha256`` those of all; ``round_trip`` tells that
+    decoding the ids of each gives the text back (a text that holds the word mark
+    itself does not: the mark comes back as a space).  Null text counts as empty:
+    no pieces, one segmentation of score 0.  Repeated rows and null ids pass
+    through; an empty table gives an empty result; other columns are left out.
+    Memory: one piece of a batch and a bounded memo.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
-    names = ["doc_id", "n_bytes", "n_pieces", "scores", "ids_sha256", "round_trip"] + ["ids"] * with_ids
+    names = ["doc_id", "n_bytes", "n_pieces", "scores", "ids_sha256", "all_sha256", "round_trip"] + ["ids"] * with_ids + ["all_ids"] * with_all
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary.value)
@@ -284,17 +308,38 @@ def encode(docs: DataFrame, path: str, n: int = 4, with_ids: bool = False) -> Da
                 texts = [x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]
                 links = [cut(t) for t in texts]
                 lattice.solve(list(set().union(*links)))
-                got = [lattice.encode(x, n) for x in links]
-                packed = [x for x, _, _ in got]
+                got = [lattice.encode_all(x, n) for x in links]
+                digests = [[hashlib.sha256(x).hexdigest() for x in packed] for packed, _ in got]
                 columns = [
                     batch.column(0).slice(a, b - a),
                     pa.array([len(t.encode()) for t in texts], pa.int64()),
-                    pa.array([len(x) // 4 for x in packed], pa.int64()),
-                    pa.array([s for _, s, _ in got], pa.list_(pa.float64())),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()),
-                    pa.array([back == t for (_, _, back), t in zip(got, texts)], pa.bool_()),
+                    pa.array([len(packed[0]) // 4 for packed, _ in got], pa.int64()),
+                    pa.array([s for _, s in got], pa.list_(pa.float64())),
+                    pa.array([x[0] for x in digests], pa.string()),
+                    pa.array(digests, pa.list_(pa.string())),
+                    pa.array([all(lattice.decode_packed(x) == t for x in packed) for (packed, _), t in zip(got, texts)], pa.bool_()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns + ([_lists(packed)] if with_ids else []), names=names)
-
-    schema = "doc_id long, n_bytes long, n_pieces long, scores array<double>, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
+                if with_ids:
+                    columns.append(_lists([packed[0] for packed, _ in got]))
+                if with_all:
+                    off = np.concatenate([[0], np.cumsum([len(packed) for packed, _ in got])]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(off), _lists([x for packed, _ in got for x in packed])))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id long, n_bytes long, n_pieces long, scores array<double>, ids_sha256 string, all_sha256 array<string>, round_trip boolean" + ", ids array<int>" * with_ids + ", all_ids array<array<int>>" * with_all
     return need(docs, doc_id="long", text="string").mapInArrow(run, schema)
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """Per row: ``doc_id, text``, the text of ``ids``; null ids give null.  Other columns are left out."""
+    vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(vocabulary.value)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                texts = [None if ids is None else lattice.decode(ids) for ids in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return need(encoded, doc_id="long", ids="array<int>").mapInArrow(run, "doc_id long, text string")

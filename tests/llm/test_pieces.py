@@ -1,7 +1,9 @@
+import hashlib
 import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomquill.llm import pieces as P
 from loomquill.llm.queries import tokenizer_path
@@ -81,3 +83,31 @@ def test_rows(spark):
         assert r.round_trip == (P.MARK not in text) and lattice.decode(r.ids) == text.replace(P.MARK, " ")
         assert r.n_pieces == len(r.ids) and r.scores == sorted(r.scores, reverse=True)
     assert P.encode(df.limit(0), path).count() == 0
+
+
+def test_every_segmentation_has_its_ids():
+    lattice = small()
+    random.seed(2)
+    for k in range(200):
+        text = "".join(random.choices("aab b\né", k=k % 10))
+        want = every_path(lattice, text)
+        lattice.solve(P.cut(text))
+        packed, scores = lattice.encode_all(P.cut(text), 5)
+        paths = [struct.unpack(f"<{len(x) // 4}i", x) for x in packed]
+        assert len(set(paths)) == len(paths) == min(5, len(want))
+        scored = {ids: s for s, ids in want}
+        assert scores == pytest.approx([scored[x] for x in paths]) and scores == pytest.approx([s for s, _ in want[:5]]), text
+        assert all(lattice.decode_packed(x) == text for x in packed)
+
+
+def test_operator_gives_all_segmentations_and_decodes_them(spark):
+    path = tokenizer_path("piece_bpe_32k.model")
+    texts = ["Hello  world\n\nthe end ", "", None, "日本語 und ñandú 𝔸"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = P.encode(df, path, with_ids=True, with_all=True)
+    for r in got.collect():
+        assert r.all_ids[0] == r.ids and len(r.all_ids) == len(r.scores) == len(set(map(tuple, r.all_ids))) == (4 if texts[r.doc_id] else 1)
+        assert r.all_sha256 == [hashlib.sha256(struct.pack(f"<{len(x)}i", *x)).hexdigest() for x in r.all_ids] and r.all_sha256[0] == r.ids_sha256
+    each = got.select("doc_id", F.explode("all_ids").alias("ids"))
+    back = P.decode(each, path).collect()
+    assert len(back) == 10 and all(r.text == (texts[r.doc_id] or "") for r in back)
