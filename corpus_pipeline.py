@@ -53,8 +53,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as piece ids, checked by decoding them."""
-    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+    """The documents as piece ids, checked by decoding them; `pieces.decode` gives their texts back."""
+    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=True)
 
 
 STAGES = [

@@ -62,3 +62,10 @@ def test_stages_and_run(spark, store, tmp_path):
     assert sorted(map(str, again.collect())) == sorted(map(str, after.collect()))
     want = {r.doc_id: r.ids_sha256 for r in pieces.encode(before, tokenizer_path("piece_bpe_32k.model")).collect()}
     assert {r.doc_id: r.ids_sha256 for r in after.collect()} == want
+
+
+def test_last_stage_gives_the_texts_back(spark):
+    docs = spark.createDataFrame([(1, "Hello  world\n"), (2, ""), (3, "ñandú 𝔸")], "doc_id long, text string")
+    out = corpus_pipeline.pieces_stage(spark, docs, "")
+    back = pieces.decode(out, tokenizer_path("piece_bpe_32k.model"))
+    assert {(r.doc_id, r.text) for r in back.collect()} == {(r.doc_id, r.text) for r in docs.collect()}
