@@ -67,7 +67,11 @@ class Weights:
         self.log_tf = np.log(np.arange(1, 4097, dtype=np.float32))
 
     def log(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        return self.log_idf[_slot(h)] + self.log_tf[np.minimum(tf, 4096) - 1]
+        log_tf = self.log_tf[np.minimum(tf, len(self.log_tf)) - 1]
+        beyond = tf > len(self.log_tf)
+        if beyond.any():
+            log_tf[beyond] = np.log(tf[beyond]).astype(np.float32)
+        return self.log_idf[_slot(h)] + log_tf
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:

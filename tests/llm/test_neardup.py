@@ -4,8 +4,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from loomquill.llm.components import components
-from loomquill.llm.neardup import near_duplicates
+from loomquill.llm.neardup import Sampler, Weights, near_duplicates
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -98,3 +100,16 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 201), (201, 200), (None, 5)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 130)}, 200: 200, 201: 200}
+
+
+def test_samples_follow_large_frequencies():
+    w = Weights(np.zeros(1 << 20, np.int64), 10)
+    tf = np.array([1, 4096, 4097, 100_000])
+    h = np.arange(4, dtype=np.uint64)
+    assert np.allclose(w.log(h, tf) - w.log(h, np.ones(4, int)), np.log(tf))
+    # Two phrases' shingles 100,000 times each, and 20,000 shingles of their own in each text: similarity 0.83.
+    common = np.arange(1, 3, dtype=np.uint64) << np.uint64(40)
+    own = [(np.arange(20_000, dtype=np.uint64) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) for k in (7, 1_000_007)]
+    tf = np.concatenate([np.full(2, 100_000), np.ones(20_000, int)])
+    a, b = (Sampler(96).draw(np.concatenate([common, x]), w.log(np.concatenate([common, x]), tf), np.array([0, 20_002]))[0] for x in own)
+    assert 0.7 < (a == b).mean() < 0.95
