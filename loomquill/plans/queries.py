@@ -169,6 +169,11 @@ def near_dup_pairs(spark, sf_dir):
     return knowledge.similar_pairs(rows, "lang", "block", id="doc_id").select("id_a", "id_b", F.round("similarity", 9).alias("similarity"))
 
 
+def near_dup_texts(spark, sf_dir):
+    """Pairs of similar texts among all documents, whatever their language label or beginning; no SQL."""
+    return knowledge.similar_pairs(table(spark, sf_dir, "documents"), id="doc_id").select("id_a", "id_b", F.round("similarity", 9).alias("similarity"))
+
+
 def merge_classify(spark, sf_dir):
     """Even ids as existing entries, odd ones as incoming: same topic is language and the first 40 characters."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category"), F.left("text", F.lit(40)).alias("title"), F.col("text").alias("body"), F.col("source").alias("fact_value"), F.lit("source").alias("fact_key"), F.lit("D").alias("status"), F.col("doc_id").alias("updated_at"))
@@ -245,7 +250,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         pack_conversations, pack_chunks, chunk_bounds, chunk_turn_numbers, role_filter, export_counters, type_distribution, event_distribution, token_estimate, token_totals, retained_tokens,
         turn_grouping, turn_stats, turn_triggers, truncate_thinking, truncate_result, tool_inputs, events_incremental, cursor_verify, recent_tail, retention_status, status_winner, index_summary,
-        exact_dedup, near_dup_pairs, merge_classify, sync_summary, new_entries, partial_read, scope_counts, prefix_routing, history_totals, malformed_lines, ticket_frontier, ticket_next, triage_labels, session_order,
+        exact_dedup, near_dup_pairs, near_dup_texts, merge_classify, sync_summary, new_entries, partial_read, scope_counts, prefix_routing, history_totals, malformed_lines, ticket_frontier, ticket_next, triage_labels, session_order,
     )
 }
 
