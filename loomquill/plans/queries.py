@@ -93,6 +93,12 @@ def chunk_bounds(spark, sf_dir):
     return stats.bound_violations(pack.chunk_stats(_packed_documents(spark, sf_dir), "lang"))
 
 
+def conversation_bounds(spark, sf_dir):
+    """Out-of-bounds chunks of the conversations' packing, by its own constants."""
+    rows = _numbered(spark, sf_dir).select("conv_id", "turn", "turn_id", "tokens")
+    return stats.bound_violations(pack.chunk_stats(pack.pack(rows, "conv_id", "turn", CONVERSATION_PACK), "conv_id"), CONVERSATION_PACK)
+
+
 def chunk_turn_numbers(spark, sf_dir):
     rows = _numbered(spark, sf_dir).select("conv_id", "turn", "turn_id", "tokens")
     packed = pack.pack(rows, "conv_id", "turn", CONVERSATION_PACK)
@@ -248,7 +254,7 @@ def session_order(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        pack_conversations, pack_chunks, chunk_bounds, chunk_turn_numbers, role_filter, export_counters, type_distribution, event_distribution, token_estimate, token_totals, retained_tokens,
+        pack_conversations, pack_chunks, chunk_bounds, conversation_bounds, chunk_turn_numbers, role_filter, export_counters, type_distribution, event_distribution, token_estimate, token_totals, retained_tokens,
         turn_grouping, turn_stats, turn_triggers, truncate_thinking, truncate_result, tool_inputs, events_incremental, cursor_verify, recent_tail, retention_status, status_winner, index_summary,
         exact_dedup, near_dup_pairs, near_dup_texts, merge_classify, sync_summary, new_entries, partial_read, scope_counts, prefix_routing, history_totals, malformed_lines, ticket_frontier, ticket_next, triage_labels, session_order,
     )
@@ -315,6 +321,7 @@ ORACLE_SQL: dict[str, str] = {
     "pack_chunks": f"{_PACK_DOCS} SELECT session AS lang, chunk_id, count(*) AS turns, CAST(sum(tok) AS BIGINT) AS tokens_est FROM packed GROUP BY session, chunk_id",
     "pack_conversations": f"{_PACK_CONV} SELECT p.session AS conv_id, p.ord AS turn, e.turn_id, p.chunk_id FROM packed p JOIN e ON e.session = p.session AND e.ord = p.ord",
     "chunk_bounds": f"{_PACK_DOCS} SELECT count(*) AS chunks, count(*) FILTER (t < 40000) AS too_small, count(*) FILTER (t > 200000) AS too_large FROM (SELECT sum(tok) AS t FROM packed GROUP BY session, chunk_id)",
+    "conversation_bounds": f"{_PACK_CONV} SELECT count(*) AS chunks, count(*) FILTER (t < {CONVERSATION_PACK.least}) AS too_small, count(*) FILTER (t > {CONVERSATION_PACK.hard}) AS too_large FROM (SELECT sum(tok) AS t FROM packed GROUP BY session, chunk_id)",
     "chunk_turn_numbers": f"{_PACK_CONV} SELECT p.session AS conv_id, p.ord AS turn, dense_rank() OVER (PARTITION BY p.session, p.chunk_id ORDER BY e.turn_id) AS turn_no FROM packed p JOIN e ON e.session = p.session AND e.ord = p.ord",
     "truncate_thinking": "SELECT doc_id, CASE WHEN length(text) > 400 THEN left(text, 200) || chr(10) || '[...omitted...]' || chr(10) || right(text, 100) ELSE text END AS summary, length(text) > 400 AS truncated FROM documents",
     "truncate_result": """SELECT doc_id, CASE WHEN length(text) <= 600 THEN text WHEN doc_id % 2 = 1 THEN left(text, 500) || chr(10) || '[...error info...]' || chr(10) || right(text, 200)

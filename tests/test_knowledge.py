@@ -116,3 +116,9 @@ def test_near_dup_texts_against_brute_force(spark, tmp_path):
     want = {(a, b) for a in words for b in words if a < b and len(words[a] & words[b]) / len(words[a] | words[b]) > 0.9}
     assert len(want) > 3
     assert {(r.id_a, r.id_b) for r in Q.near_dup_texts(spark, str(tmp_path)).collect()} == want
+
+
+def test_conversation_bounds(spark, tmp_path):
+    said = [(1, 0, "user", "a" * 4 * 600), (2, 0, "user", "a" * 4 * 50), (3, 0, "user", "a" * 4 * 300)]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert tuple(Q.conversation_bounds(spark, str(tmp_path)).first()) == (3, 1, 1)
