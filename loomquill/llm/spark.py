@@ -11,14 +11,24 @@ from pyspark.sql import functions as F
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by a checkpoint in the cluster's shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is
-    unset (a single machine, as in tests) a folder of our own is used.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset a
+    folder of our own is used on a single machine; on a cluster this raises, as no
+    folder of the driver's machine is one that executors share.
+
+    A checkpoint keeps the size that was estimated for its plan.  Estimates of
+    joins are products, so in a loop they grow to numbers of millions of digits;
+    the rows are therefore taken over without them, and adaptive execution goes
+    by what it measures.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        there = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        there = spark.conf.get("spark.checkpoint.dir", None)
+        if not there and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(there or tempfile.mkdtemp(prefix="loomquill-checkpoint-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def need(df: DataFrame, **types: str) -> DataFrame:

@@ -7,7 +7,8 @@ from collections import Counter
 import numpy as np
 
 from loomquill.llm.components import components
-from loomquill.llm.neardup import Sampler, Weights, near_duplicates
+from loomquill.llm import neardup
+from loomquill.llm.neardup import LEAST, SPREAD, Sampler, Weights, common_shingles, near_duplicates
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -23,7 +24,7 @@ def similarities(rows):
     bags = {t: bag(t) for _, t in rows}
     df = Counter(s for _, t in rows for s in bags[t])
     n = len(rows)
-    idf = {s: 1 + 0.15 * math.log((n + 1) / (k + 1)) / math.log(n + 1) for s, k in df.items()}
+    idf = {s: 1 + SPREAD * math.log(max(k / n, LEAST)) / math.log(LEAST) for s, k in df.items()}
     out = {}
     for a, b in itertools.combinations(sorted(bags, key=str), 2):
         both = set(bags[a]) | set(bags[b])
@@ -75,8 +76,7 @@ def test_against_brute_force(spark):
         assert len(got) == len(rows)
         found = {r.doc_id: r.class_id for r in got}
         pairs = similarities(rows)
-        # Hashed document frequencies may move a similarity by a hair.
-        sure, at_most = (classes({t for _, t in rows}, pairs, s) for s in (0.803, 0.797))
+        sure, at_most = (classes({t for _, t in rows}, pairs, s) for s in (0.800001, 0.799999))
         for (i, a), (j, b) in itertools.combinations(rows, 2):
             if (a or "") == (b or "") or sure[a] == sure[b]:
                 assert found[i] == found[j], (a, b)
@@ -98,12 +98,13 @@ def test_odd_rows(spark):
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 201), (201, 200), (None, 5)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 130)}, 200: 200, 201: 200}
+    for few in (200_000, 20, 0):
+        got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
+        assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 130)}, 200: 200, 201: 200}
 
 
 def test_samples_follow_large_frequencies():
-    w = Weights(np.zeros(1 << 20, np.int64), 10)
+    w = Weights()
     tf = np.array([1, 4096, 4097, 100_000])
     h = np.arange(4, dtype=np.uint64)
     assert np.allclose(w.log(h, tf) - w.log(h, np.ones(4, int)), np.log(tf))
@@ -113,3 +114,71 @@ def test_samples_follow_large_frequencies():
     tf = np.concatenate([np.full(2, 100_000), np.ones(20_000, int)])
     a, b = (Sampler(96).draw(np.concatenate([common, x]), w.log(np.concatenate([common, x]), tf), np.array([0, 20_002]))[0] for x in own)
     assert 0.7 < (a == b).mean() < 0.95
+
+
+def hub(n, seed, words=60, changes=1):
+    """``n`` texts, each ``changes`` words away from one text, which is the first of them."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = [" ".join(base)]
+    while len(out) < n:
+        w = list(base)
+        for _ in range(changes):
+            w[rng.randrange(words)] = f"x{rng.randrange(10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_links_and_cells_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """Copies one word away from one text, mostly not alike among themselves: one class, however many blocks."""
+    rows, links = {}, {}
+    dealt, linked = neardup.verified, neardup.text_links
+
+    def counted(texts, *args):
+        rows[n] = rows.get(n, 0) + texts.count()
+        return dealt(texts, *args)
+
+    def kept(*args):
+        out = linked(*args)
+        links[n] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "verified", counted)
+    monkeypatch.setattr(neardup, "text_links", kept)
+    for n in (160, 320, 640):
+        df = spark.createDataFrame(list(enumerate(hub(n, 5))), "doc_id long, text string")
+        assert {r.class_id for r in near_duplicates(df, members=40).collect()} == {0}
+    assert links[640] < 2 * 640 and links[640] <= 2.2 * links[320] <= 2.2 * 2.2 * links[160]
+    assert rows[640] < 3 * 640 and rows[640] <= 2.2 * rows[320] <= 2.2 * 2.2 * rows[160]
+
+
+def test_members_of_classes_whose_representatives_are_apart(spark):
+    """Chains of texts, each three words from the last, in many blocks; passages that all share do not hide the links."""
+    rng = random.Random(9)
+    common = " ".join(f"c{k}" for k in range(60))
+    texts = []
+    for chain in range(3):
+        w = [f"w{chain}x{k}" for k in range(60)]
+        for step in range(40):
+            texts.append(common + " " + " ".join(w))
+            w[(step * 3) % 60 : (step * 3) % 60 + 3] = [f"y{chain}x{step}x{k}" for k in range(3)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = similarities(rows)
+    want = classes(set(texts), pairs, 0.8)
+    for members in (1000, 15):
+        found = {r.doc_id: r.class_id for r in near_duplicates(df, members=members).collect()}
+        for (i, a), (j, b) in itertools.combinations(rows, 2):
+            assert (found[i] == found[j]) == (want[a] == want[b])
+
+
+def test_common_shingles_are_counted_exactly(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abc", k=rng.randrange(0, 40))) for _ in range(700)] + [None, "", "a b"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for held in (1 << 22, 50):
+        got = common_shingles(df.repartition(5), most_held=held)
+        df_of = Counter(s for t in texts for s in bag(t))
+        assert sorted(got.values()) == sorted(k / len(texts) for k in df_of.values() if k > LEAST * len(texts))
+    assert common_shingles(df.limit(0)) == {}
