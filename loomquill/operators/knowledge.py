@@ -66,7 +66,13 @@ def similar_pairs(rows: DataFrame, *block: str, id: str = "id", text: str = "tex
     sets = distinct.select(*block, "id", word_set(F.col(text)).alias("words"))
     words = sets.select("id", *block, F.explode("words").alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    ranked = words.join(counts, "word").groupBy("id", *block).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("ordered"))
+    # Words in more than one text of a thousand: at most 1000 times the mean number of a text's words, so they can be
+    # broadcast; no other word is a hot key of the join.
+    often = counts.join(sets.agg(F.count("*").alias("__texts")).hint("broadcast")).filter(F.col("n") * 1000 > F.col("__texts")).drop("__texts")
+    known = words.join(F.broadcast(often), "word", "left")
+    rare = counts.join(F.broadcast(often.select("word")), "word", "left_anti")
+    counted = known.filter("n is not null").unionByName(known.filter("n is null").drop("n").join(rare, "word"))
+    ranked = counted.groupBy("id", *block).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("ordered"))
     n = F.size("ordered")
     prefix = ranked.select(*block, "id", n.alias("size"), F.explode(F.slice("ordered", 1, (n - F.ceil(F.lit(least) * n) + 1).cast("int"))).alias("word"))
     other = prefix.select(*block, F.col("id").alias("id_b"), F.col("size").alias("size_b"), "word")
@@ -159,10 +165,12 @@ def index(kb: DataFrame) -> DataFrame:
 
 
 def render_index(kb: DataFrame, most: int = 200) -> DataFrame:
-    """The index as Markdown lines ``n, line``; an index of ``most`` lines or more is an error of the caller's data."""
+    """The index as Markdown lines ``n, line``, the total last; raises where it would have ``most`` lines or more, and drops none."""
     rows = index(kb).select(F.coalesce("category", F.lit("total")).alias("name"), F.col("category").isNull().cast("int").alias("last"), "entries", "last_updated")
     numbered = rows.select(F.row_number().over(Window.orderBy("last", "name")).alias("n"), F.format_string("| %s | %d | %s |", "name", "entries", F.coalesce(F.col("last_updated").cast("string"), F.lit("-"))).alias("line"))
-    return numbered.filter(F.col("n") < most)
+    if (lines := rows.count()) >= most:
+        raise ValueError(f"the index has {lines} lines; fewer than {most} are allowed")
+    return numbered
 
 
 def sync_summary(classified: DataFrame) -> DataFrame:

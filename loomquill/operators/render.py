@@ -40,10 +40,10 @@ def write_chunks(packed: DataFrame, stats: DataFrame, path: str, session: str =
     ordered.write.mode("overwrite").option("lineSep", "\n").partitionBy("session", "chunk").text(path)
 
 
-def result_record(status: str, mode: str, counters: DataFrame, stats: DataFrame, cursors: DataFrame, session: str = "file", prefix: str = "chunk") -> DataFrame:
-    """One row, ``json``: status, mode, counters, chunks and the new cursors (as many as there are files and chunks)."""
+def result_record(status: str, mode: str, counters: DataFrame, stats: DataFrame, cursors: DataFrame, session: str = "file", prefix: str = "chunk", warnings: list[str] | None = None) -> DataFrame:
+    """One row, ``json``: status, mode, counters, warnings, chunks and the new cursors (as many as there are files and chunks)."""
     chunk = F.struct(F.concat(F.col(session), F.lit(f"/{prefix}-"), "chunk_id", F.lit(".md")).alias("file"), "tokens_est", "turns")
     chunks = stats.agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
     sync = cursors.agg(F.array_sort(F.collect_list(F.struct("file", F.col("line_number").alias("last_line_number"), F.col("uuid").alias("last_uuid"), F.col("timestamp").alias("last_timestamp")))).alias("sync_state"))
     row = counters.join(F.broadcast(chunks)).join(F.broadcast(sync))
-    return row.select(F.to_json(F.struct(F.lit(status).alias("status"), F.lit(mode).alias("mode"), "total_entries", "processed_entries", "filtered_entries", "chunks", "sync_state")).alias("json"))
+    return row.select(F.to_json(F.struct(F.lit(status).alias("status"), F.lit(mode).alias("mode"), "total_entries", "processed_entries", "filtered_entries", F.array(*[F.lit(w) for w in warnings or []]).cast("array<string>").alias("warnings"), "chunks", "sync_state")).alias("json"))

@@ -27,7 +27,9 @@ def path_candidates(path: str, existing: list[str] | None = None) -> list[str]:
     if not flat.endswith("/"):
         found.append(found[0] + "-")
     plain = flat.lower().replace(":", "")
-    found += [name for name in existing or [] if (restored := name.replace("-", "/").lower()) in plain or plain in restored]
+    # Containment of whole path parts: a directory for ``/root`` says nothing of every project below it by a part's beginning.
+    inside = lambda a, b: f"/{a.strip('/')}/" in f"/{b.strip('/')}/"
+    found += [name for name in existing or [] if (restored := name.replace("-", "/").lower()).strip("/") and (inside(restored, plain) or inside(plain, restored))]
     return list(dict.fromkeys(found))
 
 
@@ -51,6 +53,31 @@ def file_facts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return facts.join(counted, "file", "left").select("file", "size_bytes", "last_modified", F.coalesce("line_count", F.lit(0)).alias("line_count"))
 
 
+def snapshot(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """What each file holds now: ``file, size_bytes, last_modified, line_count, line_number, uuid, timestamp, malformed_end``.
+
+    ``line_number`` is how many lines an export of this snapshot consumes.  A last
+    line without a line end that is no JSON object is still being written
+    (``malformed_end``) and is left for the next time.  ``uuid`` and ``timestamp``
+    are those of the last line consumed.  One row a file; Spark leaves out files of
+    no bytes.
+    """
+    whole = spark.read.text(paths, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size_bytes"), F.col("_metadata.file_modification_time").alias("last_modified"), "value"
+    )
+    lines = F.when(F.length("value") > 0, F.split(F.regexp_replace("value", r"(\r\n|\n|\r)$", ""), r"\r\n|\n|\r", -1)).otherwise(F.expr("cast(array() as array<string>)"))
+    cut = whole.withColumns({"lines": lines, "ended": F.col("value").rlike(r"[\r\n]$") | (F.col("value") == "")})
+    last = strip(F.element_at("lines", -1))
+    open_end = ~F.col("ended") & (last != "") & ~F.coalesce(F.schema_of_variant(F.try_parse_json(last)).startswith("OBJECT"), F.lit(False))
+    marked = cut.withColumn("malformed_end", F.coalesce(open_end, F.lit(False)))
+    number = F.size("lines") - F.col("malformed_end").cast("int")
+    at = F.when(number > 0, F.element_at("lines", F.greatest(number, F.lit(1))))
+    return marked.select(
+        "file", "size_bytes", "last_modified", F.size("lines").cast("long").alias("line_count"), number.cast("long").alias("line_number"),
+        F.coalesce(F.get_json_object(at, "$.uuid"), F.lit("")).alias("uuid"), F.coalesce(F.get_json_object(at, "$.timestamp"), F.lit("")).alias("timestamp"), "malformed_end",
+    )
+
+
 def latest_file(facts: DataFrame) -> DataFrame:
     """The file modified last (ties to the greater name)."""
     return facts.agg(F.max_by("file", F.struct("last_modified", "file")).alias("file"))

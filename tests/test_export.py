@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,7 +126,8 @@ def test_full_then_incremental(spark, tmp_path):
     assert (totals.exports, totals.full, totals.incremental) == (3, 1, 2)
     assert export.cleanup(store) > 0 and export.cleanup(store) == 0
     (tmp_path / "store" / "cursors" / "CURRENT").write_text("gone")
-    assert store.cursors().count() == 0
+    with pytest.warns(UserWarning, match="broken"):
+        assert store.cursors().count() == 0
     with pytest.raises(export.NoTranscripts):
         export.build(spark, [])
 
@@ -180,3 +182,94 @@ def test_tail_stream_sees_appended_lines(spark, tmp_path):
         f.write("three\npart")
     write(src / "b.jsonl", ["other"])
     assert drain() == ["one", "other", "three", "two"]
+
+
+def lines_of(store):
+    return sorted(re.findall(r"question \d+|late \d+", "".join(f.read_text() for f in (store.root / "chunks").rglob("*.txt"))))
+
+
+def test_lines_appended_while_an_export_writes_are_exported_once(spark, tmp_path, monkeypatch):
+    file = write(tmp_path / "one.jsonl", [entry("user", f"question {k}", f"u{k}", f"t{k}") for k in range(2)])
+    store = export.Store(spark, str(tmp_path / "store"))
+    written = render.write_chunks
+
+    def slow(*args, **options):
+        written(*args, **options)
+        with open(file, "a") as f:
+            f.write(entry("user", "late 0", "l0", "t8") + "\n" + entry("user", "late 1", "l1", "t9")[:20])
+
+    monkeypatch.setattr(render, "write_chunks", slow)
+    made = export.full(store, [file])
+    monkeypatch.undo()
+    assert lines_of(store) == ["question 0", "question 1"] and store.cursors().first().line_number == 2
+    assert json.loads(made.result.first()[0])["sync_state"][0]["last_uuid"] == "u1"
+    # The line that is still being written is left, too, until it ends.
+    export.incremental(store, [file])
+    assert lines_of(store) == ["late 0", "question 0", "question 1"] and store.cursors().first().line_number == 3
+    with open(file, "a") as f:
+        f.write(entry("user", "late 1", "l1", "t9")[20:] + "\n")
+    export.incremental(store, [file])
+    assert lines_of(store) == ["late 0", "late 1", "question 0", "question 1"]
+    assert export.incremental(store, [file]).packed.count() == 0
+
+
+def test_cut_files_warn_and_failures_keep_the_state(spark, tmp_path, monkeypatch):
+    one = write(tmp_path / "one.jsonl", [entry("user", f"question {k}", f"u{k}", f"t{k}") for k in range(3)])
+    two = write(tmp_path / "two.jsonl", [entry("user", "question 9", "v", "t")])
+    store = export.Store(spark, str(tmp_path / "store"))
+    export.full(store, [one, two])
+    write(tmp_path / "one.jsonl", [entry("user", "question 0", "u0", "t0"), "{broken"])
+    with pytest.warns(UserWarning, match="truncated since the last export.*full export is recommended"):
+        made = export.incremental(store, [one, two])
+    record = json.loads(made.result.first()[0])
+    assert record["status"] == "partial" and len(record["warnings"]) == 2
+    assert store.cursors().count() == 2
+    # A read that fails for any other reason is no first run.
+    monkeypatch.setattr(type(spark), "read", property(lambda self: (_ for _ in ()).throw(OSError("the disk is away"))))
+    with pytest.raises(OSError, match="away"):
+        store.cursors()
+    monkeypatch.undo()
+    before = lines_of(store)
+    monkeypatch.setattr(render, "write_chunks", lambda *a, **k: (_ for _ in ()).throw(OSError("full")))
+    with pytest.raises(export.WriteFailed):
+        export.full(store, [one, two])
+    monkeypatch.undo()
+    assert lines_of(store) == before and store.cursors().count() == 2
+
+
+def test_error_matrix(spark, tmp_path, monkeypatch):
+    store = export.Store(spark, str(tmp_path / "store"))
+    with pytest.raises(export.MissingTranscript):
+        export.full(store, [str(tmp_path / "none.jsonl")])
+    (tmp_path / "empty.jsonl").write_text("")
+    with pytest.warns(UserWarning, match="no conversation history"):
+        made = export.full(store, [str(tmp_path / "empty.jsonl")])
+    assert json.loads(made.result.first()[0])["status"] == "empty" and made.packed.count() == 0
+    file = write(tmp_path / "a.jsonl", [entry("user", "question 1")])
+    monkeypatch.setattr(export.shutil, "disk_usage", lambda p: type("U", (), {"free": 3}))
+    with pytest.raises(export.NoSpace):
+        export.full(store, [file])
+    monkeypatch.undo()
+    with pytest.raises(export.ExportError):
+        export.check_python((3, 7, 1))
+    (tmp_path / "roots" / "-other-place").mkdir(parents=True)
+    with pytest.raises(export.NoProject) as e:
+        export.locate("/a/b", str(tmp_path / "roots"))
+    assert e.value.candidates == ["-other-place"]
+    assert export.locate("/a/b", "", [file]) == [file]
+    assert transcripts.path_candidates("/root/app", ["-root", "-ro", "-root-app-more", "x"]) == ["-root-app", "-root-app-", "-root", "-root-app-more"]
+    made = export.build(spark, [file])
+    made.counters = made.counters.withColumn("filtered_entries", F.lit(7).cast("long"))
+    with pytest.raises(export.NotConserved):
+        export.validate(made)
+
+
+def test_sources_without_files_and_latest(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "user", "hi"), (1, "assistant", "yes")], "line_num int, type string, content string")
+    got = extract.content_parts(transcripts.from_memory(rows)).orderBy("line_num").collect()
+    assert [(r.file, r.type, r.parts[0].text) for r in got] == [("memory", "user", "hi"), ("memory", "assistant", "yes")]
+    (tmp_path / "conversation-20240102-003.md").write_text("said")
+    (tmp_path / "notes.md").write_text("x")
+    assert [(str(r.day), r.number, r.text) for r in transcripts.read_history(spark, str(tmp_path)).collect()] == [("2024-01-02", 3, "said")]
+    facts = spark.createDataFrame([("a", 1), ("c", 2), ("b", 2)], "file string, last_modified int")
+    assert transcripts.latest_file(facts).first().file == "c"

@@ -122,3 +122,29 @@ def test_conversation_bounds(spark, tmp_path):
     said = [(1, 0, "user", "a" * 4 * 600), (2, 0, "user", "a" * 4 * 50), (3, 0, "user", "a" * 4 * 300)]
     spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert tuple(Q.conversation_bounds(spark, str(tmp_path)).first()) == (3, 1, 1)
+
+
+def test_an_index_of_too_many_lines_raises(spark):
+    kb = spark.createDataFrame([(f"c{k:03d}", "", "D", "t", "b", OLD, OLD, None, None) for k in range(250)], SCHEMA)
+    with pytest.raises(ValueError, match="251 lines"):
+        K.render_index(kb)
+    assert K.render_index(kb, most=252).count() == 251
+
+
+def test_scoped_syncs_and_incremental_extraction(spark, tmp_path):
+    root, now = str(tmp_path / "kb"), F.lit(NOW)
+    first = spark.createDataFrame([("facts: Port - 8080\nstate: Build - red",), ("facts: Port - 8080\ngrowth-notes: Read - more",)], "text string")
+    drafts = export.union_extractions(export.extract_knowledge(first.limit(1)), export.extract_knowledge(first))
+    assert drafts.count() == 3
+    assert {(r.category, r.new) for r in export.sync_kb(spark, root, drafts, now).collect()} == {("facts", 1), ("state", 1)}
+    assert {(r.category, r.new) for r in export.sync_growth(spark, root, drafts, now).collect()} == {("growth-notes", 1)}
+    assert export.sync_alignment(spark, root, drafts, now).count() == 0
+    kb = S.read_snapshot(spark, root)
+    assert {(r.category, r.title, r.body) for r in kb.collect()} == {("facts", "Port", "8080"), ("state", "Build", "red"), ("growth-notes", "Read", "more")}
+    later = spark.createDataFrame([("facts: Port - 8080\nstate: Build - green\nfacts: Host - local",)], "text string")
+    new, changed = export.extract_incremental(later, kb)
+    assert {tuple(r) for r in new.collect()} == {("facts", "", "Host", "local")} and {tuple(r) for r in changed.collect()} == {("state", "", "Build", "green")}
+    told = export.sync(spark, root, new, now, changes=changed)
+    assert {(r.category, r.new) for r in told.collect()} == {("facts", 1)}
+    kb = S.read_snapshot(spark, root)
+    assert {(r.category, r.title, r.body) for r in kb.collect()} == {("facts", "Port", "8080"), ("facts", "Host", "local"), ("state", "Build", "green"), ("growth-notes", "Read", "more")}
