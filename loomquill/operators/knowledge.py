@@ -87,6 +87,12 @@ def exact_groups(rows: DataFrame, *block: str, id: str = "id", text: str = "text
     return rows.groupBy(*block, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_key")).agg(F.count("*").alias("n"), F.min(id).alias("first_id"), F.max(id).alias("last_id"))
 
 
+def truly_new(existing: DataFrame, incoming: DataFrame, text: str = "text") -> DataFrame:
+    """Incoming rows whose text no existing row has, word for word."""
+    key = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    return incoming.withColumn("__key", key).join(existing.select(key.alias("__key")).distinct(), "__key", "left_anti").drop("__key")
+
+
 def classify(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Adds ``action`` and the matched row to each incoming row.
 
@@ -184,9 +190,14 @@ def section_counts(kb: DataFrame) -> DataFrame:
     return kb.filter("status <> 'X'").groupBy("category").agg(F.count_if(~done).alias("open"), F.count_if(done).alias("done"))
 
 
-def by_priority(items: DataFrame) -> DataFrame:
-    """Items in the order high, medium, low, done, others."""
+def priority(section: Column) -> Column:
+    """0 to 3 for sections that begin with high, medium, low or done, 4 for others."""
     rank = F.lit(4)
     for k, name in reversed(list(enumerate(("high", "medium", "low", "done")))):
-        rank = F.when(F.lower(F.col("section")).startswith(name), k).otherwise(rank)
-    return items.orderBy(rank, "title")
+        rank = F.when(F.lower(section).startswith(name), k).otherwise(rank)
+    return rank
+
+
+def by_priority(items: DataFrame) -> DataFrame:
+    """Items in the order high, medium, low, done, others."""
+    return items.orderBy(priority(F.col("section")), "title")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import estimate_tokens, retained
-from ..functions.config import KEPT_TYPES, PackConfig
+from ..functions.config import DROPPED_TYPES, KEPT_TYPES, PackConfig
 
 
 def type_distribution(entries: DataFrame, column: str = "type") -> DataFrame:
@@ -30,9 +30,23 @@ def part_tokens(with_parts: DataFrame) -> DataFrame:
     return with_parts.withColumn("tokens", F.aggregate(F.transform("parts", lambda p: estimate_tokens(p["text"])), F.lit(0).cast("long"), lambda a, x: a + x))
 
 
+def dropped_types(entries: DataFrame) -> DataFrame:
+    """Entries that are not kept, by type: ``type, reason, n``; types without a known reason are ``unknown``."""
+    reason = F.lit("unknown")
+    for name, why in DROPPED_TYPES.items():
+        reason = F.when(F.col("type") == name, why).otherwise(reason)
+    return entries.filter(~F.coalesce(F.col("type").isin(*KEPT_TYPES), F.lit(False))).groupBy("type", reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
 def token_totals(rows: DataFrame, kind: str, tokens: str) -> DataFrame:
-    """``kind, tokens, retained`` with a total row (kind null)."""
-    return rows.select(F.col(kind).alias("kind"), F.col(tokens).alias("t"), retained(F.col(kind), F.col(tokens)).alias("r")).rollup("kind").agg(F.sum("t").alias("tokens"), F.sum("r").alias("retained"))
+    """``kind, tokens, retained, n`` with a total row (kind null)."""
+    sums = F.sum("t").alias("tokens"), F.sum("r").alias("retained"), F.count("*").alias("n")
+    return rows.select(F.col(kind).alias("kind"), F.col(tokens).alias("t"), retained(F.col(kind), F.col(tokens)).alias("r")).rollup("kind").agg(*sums)
+
+
+def turn_stats(numbered: DataFrame, session: str = "file") -> DataFrame:
+    """Entries and estimated tokens of each turn."""
+    return numbered.groupBy(session, "turn_id").agg(F.count("*").alias("messages"), F.sum("tokens").alias("tokens"))
 
 
 def counters(decoded: DataFrame) -> DataFrame:

@@ -32,6 +32,11 @@ def recent(entries: DataFrame, n: int = 500, session: str | None = "file", order
     return both.filter(F.col(order) > F.col("__last") - n).drop("__last")
 
 
+def positions(entries: DataFrame, session: str = "file", order: str = "line_num") -> DataFrame:
+    """Adds ``position``, an entry's place in its session from 1: line order, which is the chronological one."""
+    return entries.withColumn("position", F.row_number().over(Window.partitionBy(session).orderBy(order)).cast("long"))
+
+
 def every_n_turns(turns: DataFrame, n: int = 5) -> DataFrame:
     """Adds ``trigger_no``: which block of ``n`` turns a turn belongs to."""
     return turns.withColumn("trigger_no", F.floor((F.col("turn_id") - 1) / n).cast("long"))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..functions import config as C
-from ..operators import extract, knowledge, pack, stats, tickets, turns
+from ..operators import extract, knowledge, pack, render, stats, tickets, turns
+from ..sources import knowledge as bases
 from ..sources import transcripts
+from . import export
 
 CONVERSATION_PACK = C.PackConfig(target=400, hard=500, least=100)
 
@@ -34,8 +36,8 @@ def role_filter(spark, sf_dir):
 
 
 def export_counters(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    return rows.agg(F.count("*").alias("total_entries"), F.count_if(F.col("role").isin(*C.KEPT_TYPES)).alias("filtered_entries"))
+    lines = table(spark, sf_dir, "conversations").select(F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("text").alias("content")).alias("message"))).alias("line"))
+    return stats.counters(transcripts.decode(lines)).select("total_entries", "filtered_entries")
 
 
 def type_distribution(spark, sf_dir):
@@ -52,15 +54,15 @@ def token_estimate(spark, sf_dir):
 
 def token_totals(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("role", X.estimate_tokens(F.col("text")).alias("t"))
-    return rows.rollup("role").agg(F.sum("t").alias("tokens"), F.count("*").alias("messages"))
+    return stats.token_totals(rows, "role", "t").select(F.col("kind").alias("role"), "tokens", F.col("n").alias("messages"))
 
 
 def retained_tokens(spark, sf_dir):
     kind = F.when(F.col("role") == "user", "user_text").when(F.col("role") == "assistant", "thinking").otherwise("tool_result")
     rows = table(spark, sf_dir, "conversations").select(kind.alias("kind"), X.estimate_tokens(F.col("text")).alias("t"))
-    totals = rows.groupBy("kind").agg(F.sum("t").alias("tokens"))
-    kept = F.round(X.retained(F.col("kind"), F.col("tokens")), 3)
-    return totals.select("kind", "tokens", kept.alias("retained"), F.round(X.real_tokens(F.col("tokens")), 3).alias("real_tokens"), F.ceil(kept / 1000).alias("expected_chunks"))
+    totals = stats.token_totals(rows, "kind", "t").filter("kind is not null").withColumn("retained", F.round("retained", 3))
+    expected = stats.expected_chunks(totals, config=C.PackConfig(target=1000))
+    return expected.select("kind", "tokens", "retained", F.round(X.real_tokens(F.col("tokens")), 3).alias("real_tokens"), "expected_chunks")
 
 
 def turn_grouping(spark, sf_dir):
@@ -68,7 +70,7 @@ def turn_grouping(spark, sf_dir):
 
 
 def turn_stats(spark, sf_dir):
-    return _numbered(spark, sf_dir).groupBy("conv_id", "turn_id").agg(F.count("*").alias("messages"), F.sum("tokens").alias("tokens"))
+    return stats.turn_stats(_numbered(spark, sf_dir), "conv_id")
 
 
 def turn_triggers(spark, sf_dir):
@@ -125,19 +127,44 @@ def tool_inputs(spark, sf_dir):
 
 
 def events_incremental(spark, sf_dir):
-    """Events after a cursor at three quarters of the ids."""
-    events = table(spark, sf_dir, "events")
-    cursor = events.agg(F.floor(F.max("event_id") * 3 / 4).alias("cursor"))
-    return events.join(F.broadcast(cursor), F.col("event_id") > F.col("cursor")).select("event_id", "user_id", "event_type")
+    """Events as one file's lines, after a cursor at three quarters of the ids."""
+    events = table(spark, sf_dir, "events").withColumns({"file": F.lit("events"), "line_num": F.col("event_id")})
+    cursors = events.groupBy("file").agg((F.floor(F.max("event_id") * 3 / 4) + 1).alias("line_number"))
+    return transcripts.after_cursors(events, cursors).select("event_id", "user_id", "event_type")
 
 
 def cursor_verify(spark, sf_dir):
-    """Each user's last event as a cursor, held against the events themselves."""
+    """Each user's events as a file, and a cursor after the last one, every third of which names another event type."""
+    lines = _user_files(spark, sf_dir)
+    last = lines.groupBy("file").agg(F.count("*").alias("line_number"), F.max_by("event_type", "line_num").alias("event_type"), F.max("event_id").alias("event_id"))
+    cursors = last.select("file", "line_number", F.when(F.col("file").cast("long") % 3 == 0, "moved").otherwise(F.col("event_type")).alias("uuid"), F.lit("").alias("timestamp"))
+    state = F.when(F.col("state") == "unchanged", "ok").otherwise(F.col("state"))
+    return export.file_status(lines, cursors).select("file", state.alias("state")).join(last, "file").select(F.col("file").cast("long").alias("user_id"), F.col("event_id").alias("line_number"), "state")
+
+
+def _user_files(spark, sf_dir) -> DataFrame:
+    """Events as lines of a file a user: ``file, line_num, line, event_type, event_id``."""
     events = table(spark, sf_dir, "events")
-    cursors = events.groupBy("user_id").agg(F.max("event_id").alias("line_number")).withColumn("expected", F.when(F.col("user_id") % 3 == 0, F.lit("moved")))
-    found = events.select(F.col("event_id").alias("line_number"), "event_type")
-    state = F.when(F.coalesce("expected", "event_type") == F.col("event_type"), "ok").otherwise("changed")
-    return cursors.join(found, "line_number").select("user_id", "line_number", state.alias("state"))
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return events.select(F.col("user_id").cast("string").alias("file"), number.cast("long").alias("line_num"), F.to_json(F.struct(F.col("event_type").alias("uuid"))).alias("line"), "event_type", "event_id")
+
+
+def file_states(spark, sf_dir):
+    """Users' files against cursors: none, at the end, beyond it, one line before it, and one that names another line."""
+    lines = _user_files(spark, sf_dir)
+    n = lines.groupBy("file").agg(F.count("*").alias("n"))
+    kind = F.col("file").cast("long") % 5
+    number = F.when(kind == 2, F.col("n") + 3).when(kind == 3, F.col("n") - 1).otherwise(F.col("n"))
+    marked = n.filter(kind != 0).withColumn("line_number", number)
+    seen = lines.select("file", (F.col("line_num") + 1).alias("line_number"), F.col("event_type").alias("uuid"))
+    cursors = marked.join(seen, ["file", "line_number"], "left").select("file", "line_number", F.when(kind == 4, "moved").otherwise(F.coalesce("uuid", F.lit(""))).alias("uuid"), F.lit("").alias("timestamp"))
+    return export.file_status(lines, cursors).select(F.col("file").cast("long").alias("user_id"), "line_count", "line_number", "state")
+
+
+def latest_transcript(spark, sf_dir):
+    """Users' files by their last event's time."""
+    facts = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("file")).agg(F.max("ts").alias("last_modified"))
+    return transcripts.latest_file(facts)
 
 
 def recent_tail(spark, sf_dir):
@@ -171,12 +198,7 @@ def exact_dedup(spark, sf_dir):
 
 
 def near_dup_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").withColumn("block", F.left("text", F.lit(40)))
-    return knowledge.similar_pairs(rows, "lang", "block", id="doc_id").select("id_a", "id_b", F.round("similarity", 9).alias("similarity"))
-
-
-def near_dup_texts(spark, sf_dir):
-    """Pairs of similar texts among all documents, whatever their language label or beginning; no SQL."""
+    """Pairs of similar texts among all documents, whatever their language label or beginning."""
     return knowledge.similar_pairs(table(spark, sf_dir, "documents"), id="doc_id").select("id_a", "id_b", F.round("similarity", 9).alias("similarity"))
 
 
@@ -196,8 +218,8 @@ def sync_summary(spark, sf_dir):
 
 def new_entries(spark, sf_dir):
     """Incoming texts (odd ids) that no existing one (even ids) equals."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("k"))
-    return rows.filter("doc_id % 2 = 1").join(rows.filter("doc_id % 2 = 0").select("k").distinct(), "k", "left_anti").select("doc_id")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return knowledge.truly_new(rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 = 1")).select("doc_id")
 
 
 def partial_read(spark, sf_dir):
@@ -246,9 +268,165 @@ def triage_labels(spark, sf_dir):
 
 
 def session_order(spark, sf_dir):
-    """Chronological position of each message over its session, and the session's time range by line order."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return _conversations(spark, sf_dir).select("conv_id", "turn", F.row_number().over(w).cast("long").alias("position"))
+    """Chronological position of each message over its session, by line order."""
+    return turns.positions(_conversations(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", "position")
+
+
+def _entries(spark, sf_dir) -> DataFrame:
+    """Documents as entries: every fourth one plain text, the others lists of a text, a thinking, an image, a tool call and its result."""
+    t, id = F.col("text"), F.col("doc_id")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("Bash", "Read", "Agent", "Grep")]), (id % 4 + 1).cast("int"))
+    given = F.when(name == "Grep", F.to_json(F.struct(F.col("lang").alias("pattern"), id.alias("n")))).otherwise(F.to_json(F.struct(t.alias("command"), F.col("source").alias("file_path"), t.alias("prompt"))))
+    block = lambda kind, *more: F.to_json(F.struct(F.lit(kind).alias("type"), *more))
+    call = F.concat(F.lit('{"type":"tool_use","name":"'), name, F.lit('","input":'), given, F.lit("}"))
+    texts = F.to_json(F.array(F.struct(F.lit("text").alias("type"), t.alias("text")), F.struct(F.lit("image").alias("type"), F.lit("no").alias("text")), F.struct(F.lit("text").alias("type"), F.col("source").alias("text"))))
+    result = F.when(id % 3 == 0, F.concat(F.lit('{"type":"tool_result","is_error":'), (id % 2 == 1).cast("string"), F.lit(',"content":'), texts, F.lit("}"))).otherwise(block("tool_result", t.alias("content"), (id % 2 == 1).alias("is_error")))
+    listed = F.concat(F.lit("["), F.concat_ws(",", block("text", t.alias("text")), block("thinking", t.alias("thinking")), block("image"), call, result), F.lit("]"))
+    plain = id % 4 == 0
+    return table(spark, sf_dir, "documents").filter("text is not null").select(
+        F.lit("documents").alias("file"), id.alias("line_num"), F.when(plain, "user").otherwise("assistant").alias("type"), F.when(plain, t).otherwise(listed).alias("content"), (~plain).alias("is_array"), "doc_id"
+    )
+
+
+def content_blocks(spark, sf_dir):
+    parts = extract.content_parts(_entries(spark, sf_dir)).select("doc_id", F.posexplode("parts").alias("pos", "p"))
+    return parts.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("p.type").alias("kind"), F.col("p.text").alias("text"), F.col("p.truncated").alias("truncated"), F.coalesce("p.is_error", F.lit(False)).alias("is_error"))
+
+
+def part_tokens(spark, sf_dir):
+    return stats.part_tokens(extract.content_parts(_entries(spark, sf_dir))).select("doc_id", "tokens")
+
+
+def block_distribution(spark, sf_dir):
+    return stats.block_distribution(extract.content_parts(_entries(spark, sf_dir)))
+
+
+def tool_distribution(spark, sf_dir):
+    return stats.tool_distribution(extract.content_parts(_entries(spark, sf_dir)))
+
+
+def fallback_parts(spark, sf_dir):
+    """How many parts entries keep at each fallback level."""
+    kept = extract.content_parts(_entries(spark, sf_dir))
+    levels = [extract.drop_parts(kept, k).agg(F.lit(k).alias("level"), F.sum(F.size("parts")).alias("parts")) for k in range(3)]
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+
+
+def dropped_types(spark, sf_dir):
+    return stats.dropped_types(table(spark, sf_dir, "conversations").withColumnRenamed("role", "type"))
+
+
+def memory_entries(spark, sf_dir):
+    """All conversations as one session held by the caller."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_num"), F.col("role").alias("type"), F.col("text").alias("content"))
+    got = extract.content_parts(extract.keep_conversation(transcripts.from_memory(rows)))
+    return got.select("file", "line_num", "type", F.col("parts")[0]["text"].alias("text"))
+
+
+def line_slices(spark, sf_dir):
+    """The second and third line of each document."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_num", "line"))
+    return transcripts.slice_lines(lines, 1, 3).select("doc_id", F.col("line_num").cast("long").alias("line_num"), "line")
+
+
+def paired_turns(spark, sf_dir):
+    """User messages of every third place hold results only and belong to the turn before."""
+    rows = _conversations(spark, sf_dir).withColumn("parts", F.array(F.struct(F.when((F.col("type") == "user") & (F.col("turn") % 3 == 2), "tool_result").otherwise("text").alias("type"), F.col("text").alias("text"))))
+    return turns.number_turns(rows, "conv_id", "turn", paired=True).select("conv_id", "turn", "turn_id")
+
+
+def _rendered(spark, sf_dir) -> DataFrame:
+    part = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.lit(False).alias("truncated"), F.lit(None).cast("boolean").alias("is_error"))
+    rows = _numbered(spark, sf_dir).select("conv_id", F.col("turn").alias("line_num"), "turn_id", "tokens", "type", F.lit("").alias("timestamp"), F.array(part).alias("parts"))
+    return pack.pack(rows, "conv_id", "line_num", CONVERSATION_PACK)
+
+
+def rendered_turns(spark, sf_dir):
+    return render.render_turns(_rendered(spark, sf_dir), "conv_id").select("conv_id", "chunk_id", F.col("turn_no").cast("long").alias("turn_no"), "text")
+
+
+def rendered_headers(spark, sf_dir):
+    return render.render_headers(pack.chunk_stats(_rendered(spark, sf_dir), "conv_id", "timestamp"), "conv_id")
+
+
+def headings(spark, sf_dir):
+    """Headings of documents' sources: marked, unmarked, of another level, with an unknown mark."""
+    mark = F.element_at(F.array(*[F.lit(x) for x in ("### [V] ", "### ", "## ", "### [Q] ")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    line = F.concat(mark, "source")
+    return table(spark, sf_dir, "documents").select("doc_id", X.entry_status(line).alias("status"), X.entry_title(line).alias("title"))
+
+
+def planning(spark, sf_dir):
+    """Each conversation's share of a model's context and its price."""
+    sums = _conversations(spark, sf_dir).groupBy("conv_id").agg(F.sum(F.when(F.col("type") == "user", F.col("tokens")).otherwise(0)).alias("a"), F.sum(F.when(F.col("type") == "user", 0).otherwise(F.col("tokens"))).alias("b"))
+    return sums.select("conv_id", F.round(X.context_share(F.col("a") + F.col("b")), 9).alias("share"), F.round(X.cost(F.col("a"), F.col("b")), 9).alias("price"))
+
+
+def item_times(spark, sf_dir):
+    """Events as list items with a time, every seventh one without."""
+    line = F.when(F.col("event_id") % 7 == 0, F.lit("- no time")).otherwise(F.concat(F.lit("- ["), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("] "), "event_type"))
+    return table(spark, sf_dir, "events").select("event_id", F.date_format(X.item_time(line), "yyyy-MM-dd HH:mm").alias("at"))
+
+
+def section_counts(spark, sf_dir):
+    section = F.element_at(F.array(*[F.lit(x) for x in ("Done", "Open", "decided items")]), (F.col("doc_id") % 3 + 1).cast("int"))
+    return knowledge.section_counts(_knowledge(spark, sf_dir).withColumn("section", section))
+
+
+def priorities(spark, sf_dir):
+    section = F.element_at(F.array(*[F.lit(x) for x in ("High first", "medium", "LOW", "done", "else")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    items = table(spark, sf_dir, "documents").select("doc_id", section.alias("section"), F.col("doc_id").alias("title"))
+    return knowledge.by_priority(items).select("doc_id", knowledge.priority(F.col("section")).alias("rank"))
+
+
+def _titled(spark, sf_dir) -> DataFrame:
+    return _knowledge(spark, sf_dir).withColumns({"title": F.col("doc_id").cast("string"), "section": F.lit("Open")})
+
+
+def promoted(spark, sf_dir):
+    """Evidence of four kinds, one of which proves nothing."""
+    kb = _titled(spark, sf_dir)
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("user", "tool", "reference", "guess")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return knowledge.promote(kb, kb.filter("doc_id % 3 = 0").select("category", "title", kind.alias("kind"))).select("doc_id", "status")
+
+
+def finished(spark, sf_dir):
+    kb = _titled(spark, sf_dir)
+    return knowledge.finish(kb, kb.filter("doc_id % 3 = 0").select("category", "title")).select("doc_id", "section")
+
+
+def union_extractions(spark, sf_dir):
+    """Drafts of two overlapping sets of documents as one."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("facts").alias("category"), F.col("lang").alias("section"), F.col("source").alias("title"), F.col("text").alias("body"))
+    return export.union_extractions(rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 3 = 0")).groupBy("section").agg(F.count("*").alias("n"))
+
+
+def merge_rules(spark, sf_dir):
+    """Nations as entries, and by fives a duplicate, a supplement, a conflict, a new topic and a conflict with a verified entry."""
+    n = table(spark, sf_dir, "nation").withColumn("r", F.col("n_nationkey") % 5)
+    then, now = F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-06-01 00:00:00").cast("timestamp")
+    body = F.concat(F.lit("what is said of "), "n_name")
+    same = {"category": F.lit("facts"), "section": F.lit(""), "created_at": then, "updated_at": then, "fact_key": F.lit("k")}
+    names = ["category", "section", "status", "title", "body", "created_at", "updated_at", "fact_key", "fact_value"]
+    old = n.withColumns(same | {"status": F.when(F.col("r") == 4, "V").otherwise("D"), "title": F.col("n_name"), "body": body, "fact_value": F.lit("v")}).select(names)
+    new_title = F.when(F.col("r") == 3, F.concat(F.lit("more of "), "n_name")).otherwise(F.col("n_name"))
+    new_body = F.when(F.col("r") == 0, F.upper(body)).when(F.col("r") == 1, F.concat(F.lit("another detail of "), "n_name")).when(F.col("r").isin(2, 4), F.concat(body, F.lit(" now"))).otherwise(body)
+    new = n.withColumns(same | {"status": F.lit("D"), "title": new_title, "body": new_body, "fact_value": F.when(F.col("r").isin(2, 4), "w").otherwise("v")}).select(names)
+    return knowledge.merge(old, new, now).select("title", "status", "body", "fact_value", (F.col("updated_at") == now).alias("refreshed"))
+
+
+def markdown_round_trip(spark, sf_dir):
+    """Nations as entries of categories by region, written as Markdown and parsed again."""
+    category = F.element_at(F.array(*[F.lit(c) for c in C.CATEGORIES]), (F.col("n_regionkey") % len(C.CATEGORIES) + 1).cast("int"))
+    status = F.element_at(F.array(*[F.lit(c) for c in C.STATUSES]), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    kb = table(spark, sf_dir, "nation").select(category.alias("category"), F.concat(F.lit("part "), F.col("n_nationkey") % 2).alias("section"), status.alias("status"), F.col("n_name").alias("title"), F.concat_ws("\n", F.lit("first"), F.col("n_nationkey").cast("string")).alias("body"))
+    return bases.parse_markdown(bases.to_markdown(kb))
+
+
+def ticket_resolved(spark, sf_dir):
+    """The frontier after the second ticket is resolved."""
+    rows = spark.createDataFrame(_TICKETS, "number int, status string, blocked_by array<int>, type string")
+    return tickets.frontier(tickets.set_status(rows, 2, "resolved")).select("number", "type")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -256,7 +434,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         pack_conversations, pack_chunks, chunk_bounds, conversation_bounds, chunk_turn_numbers, role_filter, export_counters, type_distribution, event_distribution, token_estimate, token_totals, retained_tokens,
         turn_grouping, turn_stats, turn_triggers, truncate_thinking, truncate_result, tool_inputs, events_incremental, cursor_verify, recent_tail, retention_status, status_winner, index_summary,
-        exact_dedup, near_dup_pairs, near_dup_texts, merge_classify, sync_summary, new_entries, partial_read, scope_counts, prefix_routing, history_totals, malformed_lines, ticket_frontier, ticket_next, triage_labels, session_order,
+        exact_dedup, near_dup_pairs, merge_classify, sync_summary, new_entries, partial_read, scope_counts, prefix_routing, history_totals, malformed_lines, ticket_frontier, ticket_next, triage_labels, session_order,
+        file_states, latest_transcript, content_blocks, part_tokens, block_distribution, tool_distribution, fallback_parts, dropped_types, memory_entries, line_slices, paired_turns, rendered_turns, rendered_headers,
+        headings, planning, item_times, section_counts, priorities, promoted, finished, union_extractions, merge_rules, markdown_round_trip, ticket_resolved,
     )
 }
 
@@ -303,6 +483,20 @@ _VALUES = ", ".join(f"({n}, '{s}', {b}::INT[], '{t}')" for n, s, b, t in _TICKET
 _FRONTIER = f"WITH t(number, status, blocked_by, type) AS (VALUES {_VALUES}) SELECT CAST(number AS INT) AS number, type FROM t WHERE status = 'open' AND NOT EXISTS (SELECT 1 FROM unnest(blocked_by) AS u(b) WHERE b NOT IN (SELECT number FROM t WHERE status = 'resolved'))"
 _JSON_CUT = "CASE doc_id % 5 WHEN 0 THEN 'Bash' WHEN 1 THEN 'Edit' WHEN 2 THEN 'Write' WHEN 3 THEN 'Read' ELSE 'Agent' END"
 
+#: The parts of the entries made of documents: (doc_id, plain, pos, kind, text, truncated, is_error).
+_CUT_RESULT = "CASE WHEN length(r) <= 600 THEN r WHEN doc_id % 2 = 1 THEN left(r, 500) || chr(10) || '[...error info...]' || chr(10) || right(r, 200) ELSE left(r, 500) || chr(10) || '[...omitted...]' END"
+_PARTS = f"""
+    WITH d AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || source ELSE text END AS r FROM documents WHERE text IS NOT NULL),
+    parts AS (
+        SELECT doc_id, true AS plain, 0 AS pos, 'text' AS kind, text, false AS truncated, CAST(NULL AS BOOLEAN) AS is_error FROM d WHERE doc_id % 4 = 0
+        UNION ALL SELECT doc_id, false, 0, 'text', text, false, NULL FROM d WHERE doc_id % 4 <> 0
+        UNION ALL SELECT doc_id, false, 1, 'thinking', CASE WHEN length(text) > 400 THEN left(text, 200) || chr(10) || '[...omitted...]' || chr(10) || right(text, 100) ELSE text END, length(text) > 400, NULL FROM d WHERE doc_id % 4 <> 0
+        UNION ALL SELECT doc_id, false, 2, 'tool_use', CASE doc_id % 4 WHEN 1 THEN '[Tool: Read]' || chr(10) || 'File: ' || source WHEN 2 THEN '[Tool: Agent]' || chr(10) || 'Prompt: ' || left(text, 300)
+                         ELSE '[Tool: Grep]' || chr(10) || 'Input: {{"pattern":"' || lang || '","n":' || doc_id || '}}' END, true, NULL FROM d WHERE doc_id % 4 <> 0
+        UNION ALL SELECT doc_id, false, 3, 'tool_result', {_CUT_RESULT}, length(r) > 600, doc_id % 2 = 1 FROM d WHERE doc_id % 4 <> 0)"""
+_RENDERED = f"{_PACK_CONV}, q AS (SELECT p.session AS conv_id, p.ord AS turn, p.chunk_id, p.tok, e.turn_id, dense_rank() OVER (PARTITION BY p.session, p.chunk_id ORDER BY e.turn_id) AS turn_no FROM packed p JOIN e ON e.session = p.session AND e.ord = p.ord)"
+_USER_FILES = "n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)"
+
 ORACLE_SQL: dict[str, str] = {
     "role_filter": "SELECT conv_id, turn, role, CAST(length(text) AS BIGINT) AS chars FROM conversations WHERE role IN ('user', 'assistant')",
     "export_counters": "SELECT count(*) AS total_entries, count(*) FILTER (role IN ('user', 'assistant')) AS filtered_entries FROM conversations",
@@ -339,8 +533,12 @@ ORACLE_SQL: dict[str, str] = {
     "index_summary": f"SELECT category, count(*) AS entries, max(updated_at) AS last_updated FROM ({_KB}) WHERE status <> 'X' GROUP BY ROLLUP (category)",
     "exact_dedup": "SELECT md5(text) AS text_key, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY md5(text)",
     "near_dup_pairs": f"""
-        WITH d AS (SELECT lang, text, min(doc_id) AS id FROM documents GROUP BY lang, text), s AS (SELECT lang, left(text, 40) AS b, id, {_SET.format("text")} AS w FROM d),
-        p AS (SELECT x.id AS id_a, y.id AS id_b, len(list_intersect(x.w, y.w)) AS i, len(x.w) + len(y.w) AS t FROM s x JOIN s y ON x.lang = y.lang AND x.b = y.b AND x.id < y.id)
+        WITH d AS (SELECT text, min(doc_id) AS id FROM documents GROUP BY text), s AS (SELECT id, {_SET.format("text")} AS w FROM d),
+        o AS (SELECT id, len(w) AS n, unnest(w) AS word FROM s), c AS (SELECT word, count(*) AS k FROM o GROUP BY word),
+        r AS (SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY k, word) AS place FROM o JOIN c USING (word)),
+        x AS (SELECT id, n, word FROM r WHERE place <= n - ceil(0.9 * n) + 1),
+        m AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM x a JOIN x b ON a.word = b.word AND a.id < b.id AND least(a.n, b.n) > 0.9 * greatest(a.n, b.n)),
+        p AS (SELECT id_a, id_b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS t FROM m JOIN s a ON a.id = id_a JOIN s b ON b.id = id_b)
         SELECT id_a, id_b, round(i / (t - i), 9) AS similarity FROM p WHERE i / (t - i) > 0.9""",
     "merge_classify": f"{_CLASSIFIED} SELECT doc_id, action FROM a",
     "sync_summary": f"{_CLASSIFIED} SELECT category, count(*) FILTER (action = 'new') AS n_new, count(*) FILTER (action = 'duplicate') AS n_duplicate, count(*) FILTER (action = 'supplement') AS n_supplement, count(*) FILTER (action = 'conflict') AS n_conflict FROM a GROUP BY category",
@@ -357,4 +555,38 @@ ORACLE_SQL: dict[str, str] = {
     "ticket_next": f"SELECT min(number) AS number FROM ({_FRONTIER})",
     "triage_labels": "SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{x}')" for x in C.TRIAGE_LABELS) + ", ('other', NULL)) AS t(role, label)",
     "session_order": f"SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM ({_CONV})",
+    "file_states": f"""
+        WITH {_USER_FILES} SELECT user_id, n AS line_count, CASE user_id % 5 WHEN 0 THEN 0 WHEN 2 THEN n + 3 WHEN 3 THEN n - 1 ELSE n END AS line_number,
+        CASE user_id % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'unchanged' WHEN 2 THEN 'truncated' WHEN 3 THEN 'grown' ELSE 'changed' END AS state FROM n""",
+    "latest_transcript": "SELECT CAST(user_id AS VARCHAR) AS file FROM events GROUP BY user_id ORDER BY max(ts) DESC, CAST(user_id AS VARCHAR) DESC LIMIT 1",
+    "content_blocks": f"{_PARTS} SELECT doc_id, pos, kind, text, truncated, coalesce(is_error, false) AS is_error FROM parts",
+    "part_tokens": f"{_PARTS} SELECT doc_id, CAST(sum({_TOKENS.format('text')}) AS BIGINT) AS tokens FROM parts GROUP BY doc_id",
+    "block_distribution": f"{_PARTS} SELECT CASE WHEN plain THEN 'user' ELSE 'assistant' END AS type, kind AS block, count(*) AS n FROM parts GROUP BY ALL",
+    "tool_distribution": "SELECT CASE doc_id % 4 WHEN 1 THEN 'Read' WHEN 2 THEN 'Agent' ELSE 'Grep' END AS name, count(*) AS n FROM documents WHERE text IS NOT NULL AND doc_id % 4 <> 0 GROUP BY 1",
+    "fallback_parts": f"{_PARTS} SELECT level, count(*) FILTER (level = 0 OR kind = 'text' OR (level = 1 AND kind = 'tool_use')) AS parts FROM parts, (VALUES (0), (1), (2)) AS l(level) GROUP BY level",
+    "dropped_types": "SELECT role AS type, CASE role WHEN 'system' THEN 'system notice' WHEN 'mode' THEN 'setting' WHEN 'attachment' THEN 'binary' ELSE 'unknown' END AS reason, count(*) AS n FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant') GROUP BY role",
+    "memory_entries": "SELECT 'memory' AS file, conv_id * 1000 + turn AS line_num, role AS type, text FROM conversations WHERE role IN ('user', 'assistant')",
+    "line_slices": "SELECT doc_id, i - 1 AS line_num, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), (VALUES (2), (3)) AS v(i) WHERE len(l) >= i",
+    "paired_turns": f"SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' AND turn % 3 <> 2 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS turn_id FROM ({_CONV})",
+    "rendered_turns": f"""{_RENDERED} SELECT q.conv_id, q.chunk_id, q.turn_no, '## [Turn ' || q.turn_no || '] ' || chr(10) || chr(10)
+        || string_agg(CASE c.role WHEN 'user' THEN '### User:' ELSE '### Assistant:' END || chr(10) || c.text, chr(10) || chr(10) ORDER BY c.turn) || chr(10) || chr(10) || '---' || chr(10) AS text
+        FROM q JOIN conversations c ON c.conv_id = q.conv_id AND c.turn = q.turn GROUP BY q.conv_id, q.chunk_id, q.turn_no""",
+    "rendered_headers": f"""{_RENDERED}, s AS (SELECT conv_id, chunk_id, count(DISTINCT turn_id) AS n, CAST(sum(tok) AS BIGINT) AS t FROM q GROUP BY conv_id, chunk_id)
+        SELECT conv_id, chunk_id, '# Conversation History Export - Chunk ' || chunk_id || '/' || max(chunk_id) OVER (PARTITION BY conv_id) || chr(10) || chr(10) || '> Time range:  ~ ' || chr(10)
+        || '> Estimated tokens: ~' || format('{{:,}}', t) || chr(10) || '> Conversation turns: ' || n || chr(10) || chr(10) || '---' || chr(10) AS text FROM s""",
+    "headings": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'V' WHEN 2 THEN NULL ELSE 'D' END AS status, CASE doc_id % 4 WHEN 2 THEN NULL WHEN 3 THEN '[Q] ' || source ELSE source END AS title FROM documents",
+    "planning": f"""SELECT conv_id, round(((a + b) * CAST(1.68 AS DOUBLE) + 38000) / 1000000, 9) AS share, round(a * CAST(3 AS DOUBLE) / 1000000 + b * CAST(15 AS DOUBLE) / 1000000, 9) AS price
+        FROM (SELECT conv_id, CAST(coalesce(sum(tokens) FILTER (role = 'user'), 0) AS BIGINT) AS a, CAST(coalesce(sum(tokens) FILTER (role <> 'user'), 0) AS BIGINT) AS b FROM ({_CONV}) GROUP BY conv_id)""",
+    "item_times": "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M') END AS at FROM events",
+    "section_counts": f"SELECT category, count(*) FILTER (doc_id % 3 = 1) AS open, count(*) FILTER (doc_id % 3 <> 1) AS done FROM ({_KB}) WHERE status <> 'X' GROUP BY category",
+    "priorities": "SELECT doc_id, CAST(doc_id % 5 AS INT) AS rank FROM documents",
+    "promoted": f"SELECT doc_id, CASE WHEN status = 'D' AND doc_id % 3 = 0 AND doc_id % 4 <> 3 THEN 'V' ELSE status END AS status FROM ({_KB})",
+    "finished": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Done' ELSE 'Open' END AS section FROM documents",
+    "union_extractions": "SELECT lang AS section, count(*) AS n FROM (SELECT DISTINCT lang, source, text FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0) GROUP BY lang",
+    "merge_rules": """
+        WITH n AS (SELECT n_name AS t, 'what is said of ' || n_name AS b, n_nationkey % 5 AS r FROM nation)
+        SELECT t AS title, CASE r WHEN 2 THEN 'X' WHEN 4 THEN 'V' ELSE 'D' END AS status, CASE r WHEN 1 THEN b || chr(10) || 'another detail of ' || t ELSE b END AS body, 'v' AS fact_value, r IN (0, 1, 2) AS refreshed FROM n
+        UNION ALL SELECT t, 'D', b || ' now', 'w', true FROM n WHERE r IN (2, 4) UNION ALL SELECT 'more of ' || t, 'D', b, 'v', true FROM n WHERE r = 3""",
+    "markdown_round_trip": "SELECT CASE n_regionkey % 7 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(C.CATEGORIES)) + " END AS category, 'part ' || (n_nationkey % 2) AS section, CASE n_nationkey % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'V' ELSE 'X' END AS status, n_name AS title, 'first' || chr(10) || n_nationkey AS body FROM nation",
+    "ticket_resolved": _FRONTIER.replace("(2, 'open'", "(2, 'resolved'"),
 }

@@ -105,7 +105,7 @@ def test_extractor(spark):
     assert {tuple(r) for r in export.extract_knowledge(rows).collect()} == {("facts", "", "Port", "8080")} | ({("pitfalls", "", "Trap", "avoid")})
 
 
-def test_near_dup_texts_against_brute_force(spark, tmp_path):
+def test_near_dup_pairs_against_brute_force(spark, tmp_path):
     base = [f"w{k}" for k in range(60)]
     texts = [("en", " ".join(base)), ("en", "Other " + " ".join(base[1:])), ("de", " ".join(base[:-1])), ("en", "HEADER: a long line before the very same words " + " ".join(base[:20])), ("fr", " ".join(base)), ("en", " ".join(f"u{k}" for k in range(30))), ("en", "x " + " ".join(f"u{k}" for k in range(30))), (None, " ".join(reversed(base)) + " more")]
     spark.createDataFrame([(i, lang, x) for i, (lang, x) in enumerate(texts)], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
@@ -115,7 +115,7 @@ def test_near_dup_texts_against_brute_force(spark, tmp_path):
     words = {i: set(x.lower().split()) for x, i in first.items()}
     want = {(a, b) for a in words for b in words if a < b and len(words[a] & words[b]) / len(words[a] | words[b]) > 0.9}
     assert len(want) > 3
-    assert {(r.id_a, r.id_b) for r in Q.near_dup_texts(spark, str(tmp_path)).collect()} == want
+    assert {(r.id_a, r.id_b) for r in Q.near_dup_pairs(spark, str(tmp_path)).collect()} == want
 
 
 def test_conversation_bounds(spark, tmp_path):
