@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from . import text as T
 from .spark import crc_mod, need
@@ -97,7 +98,7 @@ def _features(column: pa.Array) -> np.ndarray:
     return np.column_stack(
         [
             np.log1p(count), per_word(size), share(_UPPER), share(_DIGIT), share(~_PLAIN), share(_END) * total / nwords, share(_PIPE), per_word(same), different / nwords,
-            different3 / np.maximum(np.diff(tof), 1), per_word(size <= 3), np.minimum(nwords / nlines, 200), lines / nlines, top / nwords, per_word(size > 16), share(_WIDE), per_word(_UPPER[first]), share(_BANG),
+            different3 / np.maximum(np.diff(tof), 1), per_word(size <= 3), np.log1p(nwords / nlines), lines / nlines, top / nwords, per_word(size > 16), share(_WIDE), per_word(_UPPER[first]), share(_BANG),
         ]
     ).reshape(n, len(FEATURES))
 
@@ -214,28 +215,29 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, folds: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x[:, j]) for j in range(x.shape[1]))], names=["doc_id", "y", *FEATURES])
 
     made = rows.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, y int, " + ", ".join(f"{f} double" for f in FEATURES))
-    # A repeated id counts once; the order of rows, and so the model, is fixed.
-    got = made.toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    # A repeated id counts once, as the least of its rows, so the model is fixed; at most ``sample`` rows reach the driver.
+    one = made.groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("x"), F.max("y").alias("y")).select("doc_id", "y", "x.*")
+    got = one.toPandas().sort_values("doc_id")
     return fit(got[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), got["y"].to_numpy(float))
 
 
 def score_quality(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, keep: bool = False) -> DataFrame:
-    """Adds to each row ``score`` (0 to 1) and ``predicted`` (1 if score >= ``threshold``).
+    """Each row's ``score`` (0 to 1) and ``predicted`` (1 if score >= ``threshold``).
 
-    Returns ``doc_id, score, predicted``, or with ``keep`` also all columns of
-    ``docs`` that do not clash with these.  Null text is scored as empty;
-    repeated rows and null ids pass through; an empty table gives an empty one.
+    Returns ``doc_id, score, predicted``, with ``keep`` also ``row``, a struct of
+    all columns of ``docs`` whatever their names.  Null text is scored as empty;
+    texts of any length are scored whole; repeated rows and null ids pass
+    through; an empty table gives an empty one.
     """
-    kept = [c for c in docs.columns if keep and c not in ("doc_id", "score", "predicted")]
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in kept])
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.struct("*").alias("row")] * keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.score(features(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[batch.column(2 + k) for k in range(len(kept))], pa.array(score), pa.array((score >= threshold).astype(np.int32))],
-                names=["doc_id", *kept, "score", "predicted"],
+                [batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *[batch.column(2)] * keep],
+                names=["doc_id", "score", "predicted", *["row"] * keep],
             )
 
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in [("doc_id", "long"), *[(c, sent.schema[c].dataType.simpleString()) for c in kept], ("score", "double"), ("predicted", "int")])
-    return sent.mapInArrow(run, schema)
+    fields = [StructField("doc_id", LongType()), StructField("score", DoubleType()), StructField("predicted", IntegerType())]
+    return sent.mapInArrow(run, StructType(fields + [f for f in sent.schema.fields if f.name == "row"]))

@@ -111,15 +111,16 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kind, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, *carry: str) -> DataFrame:
+def scan_secrets(docs: DataFrame, keep: bool = False) -> DataFrame:
     """Adds ``base`` and ``spans``: sorted arrays of (start, rank in `KINDS`, end), code points, end exclusive.
 
-    Returns ``doc_id``, ``text`` and the ``carry`` columns beside them.  Null
-    text has no spans; repeated rows and null ids pass through; an empty table
-    gives an empty result; columns not named are left out, so none can clash.
+    Returns ``doc_id`` and ``text`` beside them, with ``keep`` also ``row``, a
+    struct of all columns whatever their names.  Null text has no spans; texts of
+    any length are scanned whole; repeated rows and null ids pass through; an
+    empty table gives an empty result.
     """
-    kept = [c for c in carry if c not in ("doc_id", "text", "base", "spans")]
-    rows = docs.select(F.col("doc_id"), F.col("text"), *[F.col(f"`{c}`") for c in kept], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__t"))
+    kept = ["row"] * keep
+    rows = docs.select(F.col("doc_id"), F.col("text"), *[F.struct("*").alias("row")] * keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__t"))
     t = F.col("__t")
     none = F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)")
     has_run = t.rlike(CANDIDATE.replace("{20,}", "{20}"))
