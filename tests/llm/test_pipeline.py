@@ -69,3 +69,30 @@ def test_last_stage_gives_the_texts_back(spark):
     out = corpus_pipeline.pieces_stage(spark, docs, "")
     back = pieces.decode(out, tokenizer_path("piece_bpe_32k.model"))
     assert {(r.doc_id, r.text) for r in back.collect()} == {(r.doc_id, r.text) for r in docs.collect()}
+
+
+def test_columns_of_any_name_odd_rows_and_empty_tables(spark, store, tmp_path):
+    """Names that the operators use themselves, dotted ones, null ids, one long text; then no rows at all."""
+    long_text = " ".join(prose(7000 + k, 1000) for k in range(160))
+    assert len(long_text) > 700_000
+    docs = spark.read.parquet(f"{store}/documents.parquet").unionByName(
+        spark.createDataFrame([(None, prose(4000, 80), "en", "s", 1), (None, None, None, None, None), (300, long_text, "en", "s", 2), (300, long_text, "en", "s", 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    )
+    odd = ["score", "predicted", "base", "spans", "row", "key", "text_key", "hash", "text_hash", "id", "a.b", "is_first", "window", "words"]
+    docs = docs.withColumns({name: F.concat(F.lit(f"{name} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for name in odd if "." not in name})
+    docs = docs.select("*", F.lit(1.5).alias("a.b"))
+    columns = docs.columns
+    for frame in (docs, docs.limit(0)):
+        now = frame
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, store)
+            if k + 1 == len(corpus_pipeline.STAGES):
+                assert out.filter("not round_trip").count() == 0 and out.count() == now.count()
+                break
+            assert out.columns == columns and out.dtypes == docs.dtypes
+            path = str(tmp_path / f"odd-{k}-{len(list(tmp_path.iterdir()))}")
+            out.write.parquet(path)
+            now = spark.read.parquet(path)
+            for r in now.collect():
+                assert all(r[name] == f"{name} of {'none' if r.doc_id is None else r.doc_id}" for name in odd if "." not in name) and r["a.b"] == 1.5
+    assert now.count() == 0
