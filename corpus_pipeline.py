@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, near-duplicates, benchmark passages, secrets, pieces.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
-last return the columns of ``docs``.  Whoever runs the stages may write each
+last return the columns of ``docs``, whatever further ones there are and however
+they are named: each stage carries a row as one struct and gives it back.  Whoever runs the stages may write each
 result and read it again as the next one's ``docs``; `run` does so in the
 session's shared folder.
 """
@@ -17,43 +18,58 @@ from loomquill.llm.spark import shared_checkpoint
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, rejects go."""
+    """Documents that the classifier, fitted on the labelled ones, rejects go.
+
+    Null texts are scored as empty; repeated rows share one fate; null ids are
+    scored and never learnt from; an empty table stays empty.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score_quality(docs, model, keep=True)
-    return scored.filter("predicted = 1").select(*docs.columns)
+    return quality.score_quality(docs, model, keep=True).filter("predicted = 1").select("row.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays, the one of the smallest id; of repeated rows of it, one.
 
+    Null texts are empty ones and alike; null ids stay only where no other id is
+    in the class; texts without words are alike only if equal; an empty table
+    stays empty.
+
     The winners' (id, text key) pairs are distinct, and so are the rows that
     meet them once equal rows are counted as one.
     """
-    first = neardup.near_duplicates(docs).filter("is_first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key")).distinct()
-    keyed = docs.withColumn("__key", neardup.text_key())
+    first = neardup.near_duplicates(docs).filter("is_first").select(F.col("doc_id").alias("id"), "text_key").distinct()
+    keyed = docs.select(F.struct("*").alias("row")).withColumn("key", neardup.text_key("row.text"))
     # Text keys are distinct in ``first``: the join is by them alone, ids are compared after it, so that equal rows
     # are counted as one in the partitions the join has made.
-    same_id = F.coalesce(F.col("doc_id").cast("long") - F.col("__id"), F.when(F.col("doc_id").isNull() & F.col("__id").isNull(), 0).otherwise(1)) == 0
-    kept = keyed.join(first, F.col("__key") == F.col("__text_key")).filter(same_id)
-    return kept.dropDuplicates(["__text_key"]).select(*docs.columns)
+    own = F.col("row.doc_id").cast("long")
+    same_id = F.coalesce(own - F.col("id"), F.when(own.isNull() & F.col("id").isNull(), 0).otherwise(1)) == 0
+    return keyed.join(first, F.col("key") == F.col("text_key")).filter(same_id).dropDuplicates(["text_key"]).select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null texts hold nothing; rows of one id are judged by their own texts; null
+    ids are an id of their own; an empty table or benchmark changes nothing.
+    """
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
-    bad = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
-    return keyed.join(bad, (F.col("__h") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    bad = found.select(F.col("doc_id").alias("id"), "text_hash").distinct()
+    keyed = docs.select(F.struct("*").alias("row")).withColumn("hash", F.xxhash64(F.col("row.text").cast("string")))
+    same = (F.col("hash") == F.col("text_hash")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("id"))
+    return keyed.join(bad, same, "left_anti").select("row.*")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are blotted out of the texts; every document stays."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return secrets.redact(secrets.scan_secrets(docs, *others)).select(*docs.columns)
+    """Secrets are blotted out of the texts; every document stays.  Null texts stay null; an empty table stays empty."""
+    clean = secrets.redact(secrets.scan_secrets(docs, keep=True))
+    return clean.select(F.col("row").withField("text", F.col("text")).alias("row")).select("row.*")
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as piece ids, checked by decoding them; `pieces.decode` gives their texts back."""
+    """The documents as piece ids, checked by decoding them; `pieces.decode` gives their texts back.
+
+    Null texts are empty ones; repeated rows and null ids pass through; other columns are left out; an empty table stays empty.
+    """
     return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=True)
 
 
