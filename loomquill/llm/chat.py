@@ -16,10 +16,11 @@ Template, one segment a turn: ``<s>[INST] role [/INST] text</s>`` and a line
 feed.  Control strings inside roles and texts get a backslash after their first
 character and backslashes are doubled, which `unescape` takes back exactly.
 
-Scale: every message folds on its own, keyed by conversation and message, and
-segments stay separate rows, so a conversation with a third of all rows is
-never one value.  What needs the order inside a conversation is a sort that
-spills and one pass over its rows with constant memory.
+Scale: rows are dealt once, by conversation; all windows and the fold follow
+from that.  Every message folds on its own and segments stay separate rows, so a
+conversation with a third of all rows is never one value.  What needs the order
+inside a conversation is a sort that spills and running values over its rows:
+linear in its length.
 """
 
 from __future__ import annotations
@@ -60,31 +61,25 @@ def fold_events(events: DataFrame) -> DataFrame:
     """
     e = need(events, conv_id="long", seq="long", kind="string", role="string", text="string", ref="long")
     e = e.withColumns({"text": F.coalesce("text", F.lit("")), "role": F.coalesce("role", F.lit("")), "kind": F.when(F.col("kind").isin("delta", "edit", "regenerate"), F.col("kind")).otherwise("message")})
-    rank = F.when(F.col("kind") == "message", 0).otherwise(1)
+    rank, opens = F.when(F.col("kind") == "message", 0).otherwise(1), F.col("kind") == "message"
     in_order = Window.partitionBy("conv_id").orderBy(F.col("seq").asc_nulls_first(), rank, "kind", "role", "text")
     e = e.withColumn("at", F.row_number().over(in_order))
     so_far = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = Window.partitionBy("conv_id").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
-    opened = F.when(F.col("kind") == "message", F.col("at"))
-    e = e.withColumn("last_at", F.last(opened, ignorenulls=True).over(so_far))
+    e = e.withColumn("last_at", F.last(F.when(opens, F.col("at")), ignorenulls=True).over(so_far))
     # A target given by ref is found by its seq; the first message of that seq counts.
-    first_at = e.filter(F.col("kind") == "message").groupBy(F.col("conv_id").alias("c"), F.col("seq").alias("s")).agg(F.min("at").alias("ref_at"))
-    late = e.filter(F.col("kind") != "message").join(first_at, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("ref") == F.col("s")), "left")
-    late = late.withColumn("target", F.when(F.col("ref").isNull(), F.col("last_at")).otherwise(F.when(F.col("ref_at") < F.col("at"), F.col("ref_at")))).filter("target is not null").drop("c", "s", "ref_at")
-    own = e.filter(F.col("kind") == "message").withColumn("target", F.col("at"))
-    both = own.unionByName(late)
-    # Each message: what follows its last replacement is appended to it.
-    replaced = F.max(F.when(F.col("kind") != "delta", F.col("at")))
-    at_of = both.groupBy("conv_id", "target").agg(
-        replaced.alias("from_at"),
-        F.max(F.when(F.col("kind") == "message", F.struct("seq", "role"))).alias("head"),
-        F.sort_array(F.collect_list(F.struct("at", "text"))).alias("parts"),
-    )
-    messages = at_of.select("conv_id", F.col("target").alias("at"), F.col("head.seq").alias("turn"), F.col("head.role").alias("role"), F.array_join(F.transform(F.filter("parts", lambda x: x["at"] >= F.col("from_at")), lambda x: x["text"]), "").alias("text"))
-    cuts = late.filter(F.col("kind") == "regenerate").select("conv_id", F.col("at").alias("at"), F.col("target").alias("cut"))
-    marked = messages.withColumn("cut", F.lit(None).cast("int")).unionByName(cuts.select("conv_id", "at", F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), "cut"))
-    kept = marked.withColumn("cut_later", F.min("cut").over(later)).filter("cut is null and (cut_later is null or cut_later >= at)")
-    return kept.select("conv_id", "at", "turn", "role", "text")
+    named = Window.partitionBy("conv_id", "name")
+    e = e.withColumn("name", F.when(opens, F.col("seq")).otherwise(F.col("ref"))).withColumn("ref_at", F.min(F.when(opens, F.col("at"))).over(named))
+    by_ref = F.when(F.col("ref_at") < F.col("at"), F.col("ref_at"))
+    e = e.withColumn("target", F.when(opens, F.col("at")).when(F.col("ref").isNull(), F.col("last_at")).otherwise(by_ref)).filter("target is not null")
+    # What a regeneration that is still to come drops: running minima from the end, one pass whatever the length.
+    from_end = Window.partitionBy("conv_id").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("cut", F.min(F.when(F.col("kind") == "regenerate", F.col("target"))).over(from_end))
+    # Each message: what follows its last replacement is appended to it; what that replaced is not collected.
+    e = e.withColumn("from_at", F.max(F.when(F.col("kind") != "delta", F.col("at"))).over(Window.partitionBy("conv_id", "target")))
+    head = F.max(F.when(opens, F.struct("seq", "role", "cut")))
+    parts = F.sort_array(F.collect_list(F.when(F.col("at") >= F.col("from_at"), F.struct("at", "text"))))
+    folded = e.groupBy("conv_id", F.col("target").alias("at")).agg(head.alias("head"), parts.alias("parts")).filter("head.cut is null or head.cut >= at")
+    return folded.select("conv_id", "at", F.col("head.seq").alias("turn"), F.col("head.role").alias("role"), F.array_join(F.transform("parts", lambda x: x["text"]), "").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:

@@ -69,3 +69,24 @@ def test_random_logs(spark):
 
 def test_no_rows(spark):
     assert chat.read_back(chat.format_chat(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_a_long_conversation_takes_linear_time(spark):
+    """200,000 turns in one conversation, some of them regenerated and edited, and one shuffle for the fold."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("seq"), F.when(F.col("id") % 5 == 4, "edit").when(F.col("id") % 50_000 == 10, "regenerate").otherwise("message").alias("kind"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"), F.when(F.col("id") % 5 == 4, F.col("id") - 2).cast("long").alias("ref"))
+    began = time.time()
+    folded = chat.fold_events(rows).cache()
+    got = {r.turn: r.text for r in folded.collect()}
+    took = time.time() - began
+    assert took < 60
+    want = {k: str(k + 2 if k % 5 == 2 and k + 2 < n else k) for k in range(n) if k % 5 != 4 and k % 50_000 != 10}
+    want |= {8 + k: str(10 + k) for k in range(0, n, 50_000)}
+    assert got == want
+    folded.unpersist()
+    plan = chat.fold_events(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
