@@ -1,12 +1,14 @@
 """License scans by a positional rare-token index.
 
-Templates are license texts, split into words and indexed by position.  Each
-template's words are ranked by inverse document frequency, counted over all
-rows of the scanned table; its ``anchors`` rarest words are its postings.  A
-file's licence words are looked up in that index, highest IDF first; postings
-whose file position minus template position agree vote for an alignment, and an
-alignment with enough votes is verified: every mandatory key phrase of the
-template must stand in the file, word for word, within a few words of its place.
+Templates are whole license texts, where these are short, and the notices by
+which works put themselves under a license; they are split into words and indexed
+by position.  Each template's words are ranked by inverse document frequency,
+counted over all rows of the scanned table; its ``anchors`` rarest words are its
+postings.  Only a file's words of highest IDF, those that are some template's
+anchors, are looked up in that index, the rarest first; postings whose file
+position minus template position agree vote for an alignment, and an alignment
+with enough votes is verified: every mandatory key phrase of the template must
+stand in the file, word for word, within a few words of its place.
 
 All phrases are matched on exact words: hashes find, bytes decide.
 """
@@ -36,7 +38,7 @@ class Template:
     key: tuple[str, ...]
 
 
-#: Short grants and notices of common public licenses.
+#: Grants, notices and texts of common public licenses.
 TEMPLATES = (
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
     Template("mit", "released under the mit license", ("the mit license",)),
@@ -51,6 +53,66 @@ TEMPLATES = (
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license", "v 2 0")),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     Template("cc0-1.0", "to the extent possible under law the author has waived all copyright under cc0 1 0", ("cc0 1 0",)),
+    Template(
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction,
+        including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+        subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS",
+        WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS
+        OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+        OTHER DEALINGS IN THE SOFTWARE.""",
+        ("to deal in the software without restriction", "the software is provided as is"),
+    ),
+    Template(
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all
+        copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR
+        BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS
+        ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+        ("for any purpose with or without fee is hereby granted",),
+    ),
+    Template(
+        "bsd-3-clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above
+        copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+        the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+        from this software without specific prior written permission.""",
+        ("redistributions of source code must retain the above copyright notice", "neither the name of the copyright holder"),
+    ),
+    Template(
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to
+        anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+        misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2.
+        Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+        ("the origin of this software must not be misrepresented",),
+    ),
+    Template(
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+        compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+        interest in the software to the public domain.""",
+        ("free and unencumbered software released into the public domain", "in jurisdictions that recognize copyright laws"),
+    ),
+    Template(
+        "apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at Unless required by applicable law
+        or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+        language governing permissions and limitations under the License.""",
+        ("apache license version 2 0", "you may not use this file except in compliance with the license"),
+    ),
+    Template(
+        "gpl-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+        PURPOSE.""",
+        ("gnu general public license as published by the free software foundation", "either version 3 of the license"),
+    ),
+    Template(
+        "mpl-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at""",
+        ("mozilla public license v 2 0", "if a copy of the mpl was not distributed with this file"),
+    ),
 )
 
 
@@ -113,8 +175,8 @@ class Index:
                     base.add(label)
         more, score = set(), 1.0 if places else 0.0
         aligned = defaultdict(int)
-        for p in sorted(runs, key=lambda p: (-self.idf[word[p]], p)):
-            for k, i in self.postings.get(word[p], ()):
+        for p in sorted((p for p in runs if word[p] in self.postings), key=lambda p: (-self.idf[word[p]], p)):
+            for k, i in self.postings[word[p]]:
                 aligned[k, p - i] += 1
         for (k, shift), n in aligned.items():
             label, words, keys = self.templates[k]
