@@ -16,12 +16,18 @@ a stable place add up.
   to the whole document.
 
 White space here is Python's ``\\s``, a superset of the splitter's, so a place
-called stable is stable for the library too.
+called stable is stable for the library too.  Both facts hold for the usual
+splitter only; the tokenizer's file is looked at first (`splits_at_spaces`), and
+under any other every text is encoded whole.
+
+The file is read on the driver and sent to the workers as it is.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
+import json
 import os
 import re
 from collections import Counter
@@ -40,17 +46,28 @@ _MOST_PIECES = 300_000
 _loaded: dict[str, tuple] = {}
 
 
-def _load(path: str):
+def splits_at_spaces(file: str) -> bool:
+    """Whether a tokenizer file's words never cross a stable place: byte-level BPE with the usual splitter and nothing that reads over spaces."""
+    d = json.loads(file)
+    pre, model = d.get("pre_tokenizer") or {}, d.get("model") or {}
+    usual = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not d.get("normalizer")
+    odd = any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in d.get("added_tokens") or [])
+    return bool(usual and plain and not odd)
+
+
+def _load(file: str):
     """The library's tokenizer without truncation and padding, and this worker's memory of piece counts."""
-    if path not in _loaded:
+    key = hashlib.sha256(file.encode()).hexdigest()
+    if key not in _loaded:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_str(file)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _loaded[path] = tokenizer, {}
-    return _loaded[path]
+        _loaded[key] = tokenizer, {}
+    return _loaded[key]
 
 
 def stable_pieces(text: str) -> list[str]:
@@ -100,8 +117,10 @@ def _splice_place(text: str, left: list, right: list, low: int, high: int) -> in
     return None
 
 
-def _counter(path: str, chunk: int, overlap: int) -> Callable[[str], int]:
-    tokenizer, known = _load(path)
+def _counter(file: str, chunk: int, overlap: int) -> Callable[[str], int]:
+    tokenizer, known = _load(file)
+    if not splits_at_spaces(file):
+        return lambda text: len(tokenizer.encode(text, add_special_tokens=False))
 
     def spans(text: str) -> list[tuple[int, int]]:
         return tokenizer.encode(text, add_special_tokens=False).offsets
@@ -129,9 +148,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, chunk: int = 1 <<
     columns are left out.  Memory is one Arrow batch, one document's pieces and
     a bounded memo.
     """
+    with open(path, encoding="utf-8") as f:
+        file = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(path, chunk, overlap)
+        count = _counter(file.value, chunk, overlap)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             tokens = [count(x) for x in texts]

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -52,3 +53,19 @@ def test_rows(spark, tokenizer):
     want = {(i, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False)), n > 50) for i, t, _ in rows}
     assert {tuple(r) for r in got} == want
     assert C.count_tokens(df.limit(0), PATH).count() == 0
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    with open(PATH) as usual, open(path) as other:
+        file = usual.read()
+        assert C.splits_at_spaces(file) and not C.splits_at_spaces(other.read())
+    changed = json.loads(file)
+    changed["added_tokens"][0]["content"] = "of the"
+    assert not C.splits_at_spaces(json.dumps(changed))
+    given = ["Hello  World of the x", None, "", "a b " * 400]
+    got = C.count_tokens(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string"), path, chunk=100, overlap=20).collect()
+    assert {(r.doc_id, r.n_tokens) for r in got} == {(k, len(own.encode(t or "", add_special_tokens=False))) for k, t in enumerate(given)}
