@@ -1,6 +1,8 @@
 import numpy as np
 
-from loomquill.llm.prefix_forest import search
+import pytest
+
+from loomquill.llm.prefix_forest import Forest, search
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -22,7 +24,7 @@ def test_small_tables_are_exact_with_odd_vectors(spark):
     want = exact(rows, 5)
     got: dict[int, list] = {}
     df = spark.createDataFrame(rows + rows[:3], SCHEMA)
-    for r in search(df, df, k=5, share=1.0).orderBy("query_id", "rank").collect():
+    for r in search(df, df, k=5, least=10**9).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items() if x}
     assert all(abs(a[1] - b[1]) < 1e-9 for q in got for a, b in zip(got[q], want[q]))
@@ -44,3 +46,37 @@ def test_recall_against_brute_force(spark):
         s[q] = -9
         hits += len(set(np.argsort(-s)[:20]) & set(part.vec_id))
     assert hits / len(got) >= 0.9
+
+
+def test_few_rows_are_scored_at_high_recall():
+    """100,000 vectors of random directions, the hardest case, in the blocks and with the settings of the query."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((100_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    asked = x[:100]
+    near = np.argsort(-(asked @ x.T), axis=1)[:, 1:21]
+    seen, found = 0, [set() for _ in asked]
+    for a in range(0, len(x), 8192):
+        for j, rows in enumerate(Forest(x[a : a + 8192], 18, 10, 4).candidates(asked, 128)):
+            seen += len(rows)
+            found[j] |= set((rows + a).tolist())
+    assert seen < 0.1 * len(asked) * len(x)
+    assert np.mean([len(found[j] & set(near[j].tolist())) / 20 for j in range(len(asked))]) >= 0.9
+
+
+def test_recall_on_the_drivers_vectors(spark):
+    from pathlib import Path
+
+    if not Path("/root/testdata/sf0.1/embeddings.parquet").exists():
+        pytest.skip("the driver's tables are not here")
+    from loomquill.llm.queries import op3_neighbours
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    v = np.stack(rows.embedding.to_numpy()).astype(float)
+    got = op3_neighbours(spark, "/root/testdata/sf0.1").toPandas()
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        s = v @ v[np.flatnonzero(rows.vec_id == q)[0]]
+        s[rows.vec_id == q] = -9
+        hits += len(set(rows.vec_id[np.argsort(-s)[:20]]) & set(part.vec_id))
+    assert len(got) == 20 * (rows.vec_id % 20 == 0).sum() and hits / len(got) >= 0.9
