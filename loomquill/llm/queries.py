@@ -71,6 +71,33 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(events))
 
 
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the LM scores what SQL can say."""
+    got = mixing_lm.score_texts(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = {c: F.coalesce(c, F.lit(-1)) for c in ("first_word", "last_word")}
+    return op7_licenses(spark, sf_dir).withColumns(place).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a log with deltas, edits and regenerations, folded into final messages."""
+    rows = table(spark, sf_dir, "conversations")
+    seq, none = F.col("turn") * 10, F.lit(None).cast("long")
+    event = lambda df, at, kind, text, ref: df.select("conv_id", at.cast("long").alias("seq"), F.lit(kind).alias("kind"), "role", text.alias("text"), ref.cast("long").alias("ref"))
+    deltas = event(rows.filter("turn % 2 = 0"), seq + 1, "delta", F.lit(" more"), seq)
+    edits = event(rows.filter("turn % 5 = 1"), seq + 1_000_000, "edit", F.concat(F.lit("edited "), "turn"), seq)
+    again = event(rows.filter("conv_id % 3 = 0").dropDuplicates(["conv_id"]), F.lit(2_000_000), "regenerate", F.lit("again"), F.lit(20))
+    log = event(rows, seq, "message", F.col("text"), none).unionByName(deltas).unionByName(edits).unionByName(again)
+    return chat.fold_events(log).select("conv_id", (F.col("turn") / 10).cast("long").alias("turn"), "role", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_lm_scores": op2_lm_scores,
@@ -82,8 +109,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_chat": op10_chat,
+    "lm_base": lm_base,
+    "secret_counts": secret_counts,
+    "license_phrases": license_phrases,
+    "chat_events": chat_events,
 }
 
+#: crc32 of an id as text, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)), 4294967295)"""
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 _ESCAPED = r"""replace(replace(replace(replace(replace(replace(replace({0}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>')"""
 
 _WORDS = r"""list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
@@ -112,4 +148,25 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length('<s>[INST] ' || {_ESCAPED.format("role")} || ' [/INST] ' || {_ESCAPED.format("text")} || '</s>' || chr(10))) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "lm_base": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_CRC} % 7 = 2 AS held, list_append(list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> ''), '') AS w FROM documents),
+        t AS (SELECT r, held, unnest(w) AS x FROM d), c AS (SELECT x, count(*) AS c FROM t WHERE NOT held GROUP BY x), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+        SELECT d.doc_id, d.held AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(max(n.n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 1) / CAST(n.n + n.v + 1 AS DOUBLE))), 6) AS base_score
+        FROM d JOIN t ON t.r = d.r LEFT JOIN c ON c.x = t.x CROSS JOIN n GROUP BY d.r, d.doc_id, d.held""",
+    "secret_counts": r"""
+        SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+               CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
+               CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex FROM documents""",
+    "license_phrases": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+        p AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'cc' AND w[i + 1] = 'by') AS a, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS b,
+                     list_filter(range(1, len(w) + 1), lambda i: w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved') AS c FROM d),
+        q AS (SELECT *, list_concat(a, list_concat(b, c)) AS every FROM p)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(every) AS BIGINT) AS n_base, CAST(coalesce(list_min(every), 0) - 1 AS BIGINT) AS first_word, CAST(coalesce(list_max(every), 0) - 1 AS BIGINT) AS last_word,
+               concat_ws(',', CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END) AS base_labels FROM q""",
+    "chat_events": """
+        WITH t AS (SELECT *, conv_id % 3 = 0 AND max(turn = 2) OVER (PARTITION BY conv_id) AS again FROM conversations)
+        SELECT conv_id, turn, coalesce(role, '') AS role,
+               CASE WHEN again AND turn = 2 THEN 'again' WHEN turn % 5 = 1 THEN 'edited ' || turn ELSE coalesce(text, '') || CASE WHEN turn % 2 = 0 THEN ' more' ELSE '' END END AS text
+        FROM t WHERE NOT (again AND turn > 2)""",
 }
