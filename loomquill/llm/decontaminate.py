@@ -8,8 +8,8 @@ these anchors; a meeting fixes where the window would begin, which bounds it by
 position and length; then the words themselves are compared, all of them.
 
 The joined side is the benchmark's distinct windows.  They are broadcast in
-blocks of at most ``most`` windows; a benchmark beyond that takes several passes
-over the documents.  Document words never leave the row they stand in.
+blocks of at most ``most`` windows and 64 MB; a benchmark beyond that takes
+several passes over the documents.  Document words never leave the row they stand in.
 """
 
 from __future__ import annotations
@@ -40,10 +40,19 @@ def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, F.lit(width)))).alias("window")).distinct()
 
 
+#: No broadcast is larger than this in bytes of its words, but for a single row.
+_BYTES = 64 << 20
+
+
+def _blocks(rows: DataFrame, size: Column, most: int) -> int:
+    """In how many blocks ``rows`` are broadcast: ``most`` rows and `_BYTES` of ``size`` each."""
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return max(1, -(-n // most), -(-total // _BYTES))
+
+
 def occurrences(docs: DataFrame, words: DataFrame, most: int) -> DataFrame:
     """How often each of ``words`` (``word``, distinct) stands in all documents: ``word, n``."""
-    n = words.count()
-    blocks = max(1, -(-n // most))
+    blocks = _blocks(words, F.octet_length("word"), most)
     text = docs.select(F.explode(words_of(F.col("text"))).alias("word"))
     parts = [text.join(F.broadcast(words.filter(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b)), "word").groupBy("word").agg(F.count("*").alias("n")) for b in range(blocks)]
     return words.join(reduce(DataFrame.unionByName, parts), "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
@@ -63,7 +72,7 @@ def contained(docs: DataFrame, anchors: DataFrame, most: int) -> DataFrame:
     """Every place of a window in a document: ``doc_id, text_hash, start, size, window`` (words from 0)."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
     at = rows.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "anchor"))
-    blocks = max(1, -(-anchors.count() // most))
+    blocks = _blocks(anchors, F.octet_length(F.concat_ws("", "window")), most)
 
     def part(b: int) -> DataFrame:
         block = anchors.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b) if blocks > 1 else anchors
