@@ -35,15 +35,15 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays empty.
 
     The winners' (id, text key) pairs are distinct, and so are the rows that
-    meet them once equal rows are counted as one.
+    meet them once equal rows are counted as one.  Rows are dealt by both, so
+    copies of one text under many ids meet in no one task.
     """
     first = neardup.near_duplicates(docs).filter("is_first").select(F.col("doc_id").alias("id"), "text_key").distinct()
-    keyed = docs.select(F.struct("*").alias("row")).withColumn("key", neardup.text_key("row.text"))
-    # Text keys are distinct in ``first``: the join is by them alone, ids are compared after it, so that equal rows
-    # are counted as one in the partitions the join has made.
-    own = F.col("row.doc_id").cast("long")
-    same_id = F.coalesce(own - F.col("id"), F.when(own.isNull() & F.col("id").isNull(), 0).otherwise(1)) == 0
-    return keyed.join(first, F.col("key") == F.col("text_key")).filter(same_id).dropDuplicates(["text_key"]).select("row.*")
+    by_id = lambda id: {"number": F.coalesce(id, F.lit(0)), "nameless": id.isNull()}
+    keyed = docs.select(F.struct("*").alias("row")).withColumns({"text_key": neardup.text_key("row.text")} | by_id(F.col("row.doc_id").cast("long")))
+    both = ["text_key", "number", "nameless"]
+    # Equal rows are counted as one in the partitions that the join has made.
+    return keyed.join(first.withColumns(by_id(F.col("id"))).select(both), both).dropDuplicates(both).select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
