@@ -87,28 +87,39 @@ class Forest:
         symbols = _symbols(q, self.rotations)
         for a in range(0, len(q), chunk):
             part = symbols[:, a : a + chunk]
-            seen = np.zeros((part.shape[1], self.n), bool)
+            # How long a prefix each row shares with each query in some tree, one more; found for the longer ones in one go.
+            shared = np.zeros((part.shape[1], self.n), np.uint8)
             live = np.arange(part.shape[1])
-            for level in range(self.depth, -1, -1):
-                if level == 0:
-                    seen[live] = True
-                    break
-                drop = np.uint64(self.bits * (self.depth - level))
-                for t, tree in enumerate(self.trees):
-                    prefix = self._strings(part[:, live], tree).astype(np.uint64) >> drop
-                    low = np.searchsorted(self.sorted[t], (prefix << drop).astype(np.uint32))
-                    last = ((prefix + np.uint64(1)) << drop) - np.uint64(1)
-                    high = np.searchsorted(self.sorted[t], last.astype(np.uint32), side="right")
-                    met = high - low
-                    if met.any():
-                        first = np.cumsum(met) - met
-                        at = np.arange(met.sum()) - np.repeat(first, met) + np.repeat(low, met)
-                        seen[np.repeat(live, met), self.order[t][at]] = True
-                live = live[seen[live].sum(axis=1) < least]
+            for level in (min(2, self.depth), 1):
+                self._meet(part, live, level, shared)
+                live = live[(shared[live] > level).sum(axis=1) < least]
                 if not len(live):
                     break
-            for row in seen:
-                yield np.flatnonzero(row)
+            for row in shared:
+                # The longest prefix that enough rows share, or no prefix at all.
+                level = next((k for k in range(self.depth, 0, -1) if (row > k).sum() >= least), 0)
+                yield np.flatnonzero(row > level) if level else np.arange(self.n)
+
+    def _meet(self, symbols: np.ndarray, live: np.ndarray, level: int, shared: np.ndarray) -> None:
+        """Notes in ``shared`` the rows that share a prefix of ``level`` symbols or more, for the queries ``live``."""
+        drop = np.uint64(self.bits * (self.depth - level))
+        for t, tree in enumerate(self.trees):
+            strings = self._strings(symbols[:, live], tree)
+            prefix = strings.astype(np.uint64) >> drop
+            low = np.searchsorted(self.sorted[t], (prefix << drop).astype(np.uint32))
+            high = np.searchsorted(self.sorted[t], (((prefix + np.uint64(1)) << drop) - np.uint64(1)).astype(np.uint32), side="right")
+            met = high - low
+            total = int(met.sum())
+            if total:
+                first = np.cumsum(met) - met
+                of = np.repeat(np.arange(len(live)), met)
+                at = np.arange(total) - first[of] + low[of]
+                differs = self.sorted[t][at] ^ strings[of]
+                length = np.full(total, level + 1, np.uint8)
+                for k in range(level + 1, self.depth + 1):
+                    length += differs >> np.uint32(self.bits * (self.depth - k)) == 0
+                spot = live[of], self.order[t][at]
+                shared[spot] = np.maximum(shared[spot], length)
 
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("query_hash", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])

@@ -31,6 +31,14 @@ def test_small_tables_are_exact_with_odd_vectors(spark):
     assert search(df.limit(0), df).count() == 0 and search(df, df.limit(0)).count() == 0
 
 
+def test_ties_across_blocks_go_to_the_smaller_id(spark):
+    """Different vectors of equal inner product with the query, in many blocks."""
+    rows = [(i, [1.0] + [float(i == j) for j in range(30)], 0) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = search(df, df.filter("vec_id = 7"), k=9, least=10**9, block=3).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in got] == [(k + 1, v, 1.0) for k, v in enumerate([0, 1, 2, 3, 4, 5, 6, 8, 9])]
+
+
 def test_recall_against_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3000, 64))

@@ -50,3 +50,16 @@ def test_whole_texts_batches_and_rows(spark):
     assert all(0 <= r.score <= 1 for r in got)
     assert Q.score_quality(docs.limit(0), model).count() == 0
     assert Q.train(docs, labels.limit(0)).score(np.zeros((1, len(Q.FEATURES)))).tolist() == [0.5]
+
+
+def test_the_model_does_not_depend_on_the_rows_order(spark):
+    """Labelled ids that repeat with other texts count once, as the least of their rows."""
+    rng = np.random.default_rng(5)
+    words = ["the", "house", "zz", "%%%", "a", "river.", "QQ"]
+    rows = [(i % 90, " ".join(rng.choice(words, 1 + int(rng.integers(60))))) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
+    models = []
+    for order in (rows, rows[::-1]):
+        model = Q.train(spark.createDataFrame(order, "doc_id long, text string").repartition(3), labels)
+        models.append([model.intercept, *(t.tolist() for t in model.tables), model.pairs, *(t.tolist() for t in model.pair_tables)])
+    assert models[0] == models[1]
