@@ -235,7 +235,7 @@ def score_quality(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3,
         for batch in batches:
             score = model.score(features(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *[batch.column(2)] * keep],
+                [batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *([batch.column(2)] if keep else [])],
                 names=["doc_id", "score", "predicted", *["row"] * keep],
             )
 

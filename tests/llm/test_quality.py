@@ -48,6 +48,7 @@ def test_whole_texts_batches_and_rows(spark):
     held = [r for r in got if r.doc_id is not None and r.doc_id < 600 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert len(held) > 80 and all(r.predicted == 1 - r.doc_id % 2 for r in held)
     assert all(0 <= r.score <= 1 for r in got)
+    assert sorted((str(r.doc_id), r.score, r.predicted) for r in Q.score_quality(docs, model).collect()) == sorted((str(r.doc_id), r.score, r.predicted) for r in got)
     assert Q.score_quality(docs.limit(0), model).count() == 0
     assert Q.train(docs, labels.limit(0)).score(np.zeros((1, len(Q.FEATURES)))).tolist() == [0.5]
 
