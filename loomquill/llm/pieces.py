@@ -39,7 +39,7 @@ MARK = "▁"
 _LINK = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 #: Links longer than this are solved one at a time.
 _LONG = 40
-_MOST_LINKS = 150_000
+_MOST_LINKS = 250_000
 _UNKNOWN_PENALTY = 10.0
 _P, _SPREAD = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 _MAY_BITS = 20
@@ -53,11 +53,15 @@ class Vocabulary:
     ids: list[int]
     scores: list[float]
     byte_ids: list[int]
+    key: str = ""
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         import sentencepiece
 
+        with open(path, "rb") as f:
+            key = hashlib.sha256(f.read()).hexdigest()
+
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
@@ -65,7 +69,7 @@ class Vocabulary:
         scores = [model.get_score(i) for i in plain]
         # Some files give runs of word marks a score of minus a billion, for "after all others": here one less than the least.
         least = min((s for s in scores if s > -1e8), default=0.0) - 1
-        return cls([model.id_to_piece(i) for i in plain], plain, [max(s, least) for s in scores], [by_byte[f"<0x{b:02X}>"] for b in range(256)])
+        return cls([model.id_to_piece(i) for i in plain], plain, [max(s, least) for s in scores], [by_byte[f"<0x{b:02X}>"] for b in range(256)], key)
 
 
 class Lattice:
@@ -90,12 +94,14 @@ class Lattice:
         self.solved: dict[str, tuple[float, float, bytes]] = {}
         #: The generation before: what is used again comes back from here, the rest is forgotten with it.
         self.older: dict[str, tuple[float, float, bytes]] = {}
-        self.paths: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
+        self.paths: dict[tuple[str, int], list[tuple[float, bytes, bool]]] = {}
         #: By id: the piece, and whether it is one of the byte pieces.
         self.piece_of = np.full(max(v.ids + v.byte_ids) + 1, "", object)
         self.piece_of[v.ids] = v.pieces
         self.is_byte = np.zeros(len(self.piece_of), bool)
         self.is_byte[v.byte_ids] = True
+        self.byte_value = np.zeros(len(self.piece_of), np.uint8)
+        self.byte_value[v.byte_ids] = np.arange(256)
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -123,15 +129,21 @@ class Lattice:
         for end in range(1, len(link) + 1):
             into.append(list(self.edges(link, end)))
             best[end] = max(best[start] + score for start, _, score in into[end])
-        heap = [(-best[-1], (), len(link), 0.0)]
-        out = []
+        # A path is a chain of its pieces from the end, so long links copy nothing; of equals the one found last goes first, so ties end paths instead of widening the search.
+        heap: list[tuple] = [(-best[-1], 0, len(link), 0.0, None)]
+        out, found = [], 0
         while heap and len(out) < n:
-            _, ids, node, behind = heapq.heappop(heap)
+            _, _, node, behind, chain = heapq.heappop(heap)
             if node == 0:
-                out.append((behind, ids))
+                ids: list[int] = []
+                while chain:
+                    ids += chain[0]
+                    chain = chain[1]
+                out.append((behind, tuple(ids)))
                 continue
             for start, more, score in into[node]:
-                heapq.heappush(heap, (-(behind + score + best[start]), more + ids, start, behind + score))
+                found += 1
+                heapq.heappush(heap, (-(behind + score + best[start]), -found, start, behind + score, (more, chain)))
         return out
 
     def solve(self, links: list[str]) -> None:
@@ -155,8 +167,8 @@ class Lattice:
                     two = self.n_best(x, 2)
                     self._keep(x, two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf, two[0][1])
                 continue
-            for at in range(0, len(group), 1024):
-                self._solve_equal(group[at : at + 1024], size)
+            for at in range(0, len(group), 4096):
+                self._solve_equal(group[at : at + 4096], size)
 
     def _keep(self, link: str, best: float, loss: float, ids: tuple[int, ...]) -> None:
         self.solved[link] = best, loss, struct.pack(f"<{len(ids)}i", *ids)
@@ -220,42 +232,58 @@ class Lattice:
 
     def encode(self, links: list[str], n: int) -> tuple[bytes, list[float], str]:
         """Of a text cut into solved links: the best path's ids (little-endian int32), the scores of the ``n`` best paths (or of all), and the text of the best path's ids."""
-        packed, scores = self.encode_all(links, n)
+        packed, scores, _ = self.encode_all(links, n)
         return packed[0], scores, self.decode_packed(packed[0])
 
-    def encode_all(self, links: list[str], n: int) -> tuple[list[bytes], list[float]]:
-        """Of a text cut into solved links: the ids (little-endian int32) and the scores of its ``n`` best paths (or of all), best first."""
+    def encode_all(self, links: list[str], n: int) -> tuple[list[bytes], list[float], bool]:
+        """Of a text cut into solved links: the ids (little-endian int32) and the scores of its ``n`` best paths (or of all), best first.
+
+        Last, whether the ids of every detour taken decode to the link they stand
+        for, so that all paths decode to what the best one does.
+        """
         known = self.solved
-        got = [known[x] for x in links]
-        total, loss = sum([g[0] for g in got]), [g[1] for g in got]
+        if not links:
+            return [b""], [0.0], True
+        score, loss, best = zip(*[known[x] for x in links])
+        total = sum(score)
         merged: list[tuple[float, tuple]] = [(0.0, ())]  # loss, and (link, its ids) where they differ from the best path's
         # Links of the n - 1 smallest detours, each as often as it stands.
         for k in np.argsort(loss, kind="stable")[: n - 1].tolist() if len(loss) < 4 * n else sorted(np.argpartition(loss, n - 1)[: n - 1].tolist()):
             if loss[k] == np.inf:
                 continue
-            detours = self._detours(links[k], n, got[k][2])
-            merged = heapq.nsmallest(n, merged + [(a + more, taken + ((k, ids),)) for a, taken in merged for more, ids in detours], key=lambda x: x[0])
-        best, packed = [g[2] for g in got], []
+            detours = self._detours(links[k], n, best[k])
+            merged = heapq.nsmallest(n, merged + [(a + more, taken + ((k, ids, same),)) for a, taken in merged for more, ids, same in detours], key=lambda x: x[0])
+        first = b"".join(best)
+        begins = {k: sum(map(len, best[:k])) for k in {k for _, taken in merged for k, _, _ in taken}}
+        packed = []
         for _, taken in merged:
-            parts = best.copy() if taken else best
-            for k, ids in taken:
-                parts[k] = ids
-            packed.append(b"".join(parts))
-        return packed, [total - x for x, _ in merged]
-
-    def _detours(self, link: str, n: int, own: bytes) -> list[tuple[float, bytes]]:
-        """Loss and packed ids of the ``n - 1`` best paths of a link other than ``own``, its best one."""
+            # The best path's bytes but for the links where this one differs.
+            parts, at = [], 0
+            for k, ids, _ in sorted(taken):
+                parts += (first[at : begins[k]], ids)
+                at = begins[k] + len(best[k])
+            packed.append(b"".join([*parts, first[at:]]) if taken else first)
+        return packed, [total - x for x, _ in merged], all(same for _, taken in merged for _, _, same in taken)
+
+    def _detours(self, link: str, n: int, own: bytes) -> list[tuple[float, bytes, bool]]:
+        """Loss and packed ids of the ``n - 1`` best paths of a link other than ``own``, its best one, and whether these decode to the link."""
         if (link, n) not in self.paths:
-            found = [(s, struct.pack(f"<{len(ids)}i", *ids)) for s, ids in self.n_best(link, n)]
-            self.paths[link, n] = [(found[0][0] - s, ids) for s, ids in found if ids != own][: n - 1]
+            found = [(s, struct.pack(f"<{len(ids)}i", *ids), self._join(ids) == link) for s, ids in self.n_best(link, n)]
+            self.paths[link, n] = [(found[0][0] - s, ids, same) for s, ids, same in found if ids != own][: n - 1]
         return self.paths[link, n]
 
     def decode_packed(self, packed: bytes) -> str:
         """`decode` of little-endian int32 ids."""
         ids = np.frombuffer(packed, "<i4")
-        if self.is_byte[ids].any():
-            return self.decode(ids.tolist())
-        return "".join(self.piece_of[ids].tolist()).replace(MARK, " ")[1:]
+        parts = self.piece_of[ids].tolist()
+        spelt = np.flatnonzero(self.is_byte[ids])
+        if len(spelt):
+            # Each run of byte pieces is text of its own, put where the run begins.
+            cuts = np.flatnonzero(np.diff(spelt) > 1) + 1
+            values = self.byte_value[ids[spelt]].tobytes()
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(spelt)]):
+                parts[spelt[a]] = values[a:b].decode("utf-8", "replace")
+        return "".join(parts).replace(MARK, " ")[1:]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: pieces joined, byte pieces taken as UTF-8, marks back to spaces, the first one dropped."""
@@ -276,6 +304,17 @@ class Lattice:
         return "".join(out)
 
 
+#: This worker's lattices with what they remember, by their vocabulary; of one model usually.
+_lattices: dict[str, Lattice] = {}
+
+
+def _lattice(v: Vocabulary) -> Lattice:
+    if v.key not in _lattices:
+        _lattices.clear()
+        _lattices[v.key] = Lattice(v)
+    return _lattices[v.key]
+
+
 def _lists(packed: list[bytes]) -> pa.Array:
     off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(packed), "<i4")))
@@ -302,28 +341,28 @@ def encode(docs: DataFrame, path: str, n: int = 4, with_ids: bool = False, with_
     names = ["doc_id", "n_bytes", "n_pieces", "scores", "ids_sha256", "all_sha256", "round_trip"] + ["ids"] * with_ids + ["all_ids"] * with_all
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary.value)
+        lattice = _lattice(vocabulary.value)
         for batch in batches:
-            for a, b in T.pieces(batch.column(1), 1 << 20):
+            for a, b in T.pieces(batch.column(1), 3 << 20):
                 texts = [x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]
                 links = [cut(t) for t in texts]
                 lattice.solve(list(set().union(*links)))
                 got = [lattice.encode_all(x, n) for x in links]
-                digests = [[hashlib.sha256(x).hexdigest() for x in packed] for packed, _ in got]
+                digests = [[hashlib.sha256(x).hexdigest() for x in packed] for packed, _, _ in got]
                 columns = [
                     batch.column(0).slice(a, b - a),
                     pa.array([len(t.encode()) for t in texts], pa.int64()),
-                    pa.array([len(packed[0]) // 4 for packed, _ in got], pa.int64()),
-                    pa.array([s for _, s in got], pa.list_(pa.float64())),
+                    pa.array([len(packed[0]) // 4 for packed, _, _ in got], pa.int64()),
+                    pa.array([s for _, s, _ in got], pa.list_(pa.float64())),
                     pa.array([x[0] for x in digests], pa.string()),
                     pa.array(digests, pa.list_(pa.string())),
-                    pa.array([all(lattice.decode_packed(x) == t for x in packed) for (packed, _), t in zip(got, texts)], pa.bool_()),
+                    pa.array([same and lattice.decode_packed(packed[0]) == t for (packed, _, same), t in zip(got, texts)], pa.bool_()),
                 ]
                 if with_ids:
-                    columns.append(_lists([packed[0] for packed, _ in got]))
+                    columns.append(_lists([packed[0] for packed, _, _ in got]))
                 if with_all:
-                    off = np.concatenate([[0], np.cumsum([len(packed) for packed, _ in got])]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(off), _lists([x for packed, _ in got for x in packed])))
+                    off = np.concatenate([[0], np.cumsum([len(packed) for packed, _, _ in got])]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(off), _lists([x for packed, _, _ in got for x in packed])))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_bytes long, n_pieces long, scores array<double>, ids_sha256 string, all_sha256 array<string>, round_trip boolean" + ", ids array<int>" * with_ids + ", all_ids array<array<int>>" * with_all
@@ -335,7 +374,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary.value)
+        lattice = _lattice(vocabulary.value)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
