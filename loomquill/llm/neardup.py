@@ -45,6 +45,8 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 3
 SPREAD, LEAST = 0.15, 0.01
 #: Postings up to this length are paired one by one, longer ones by matrix products.
 _SHORT = 16
+#: Labels of large components that are broadcast: some 10 MB.
+_MOST_LABELS = 100_000
 
 
 def text_key(column: str = "text"):
@@ -334,7 +336,11 @@ def _cell(*parts: str):
 def _blocks(texts: DataFrame, members: int, shingles: int) -> DataFrame:
     """``texts`` with ``blocks``, how many its label's texts are dealt to, and ``block``, its own."""
     sizes = texts.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("shingles") / shingles)).cast("int").alias("blocks"))
-    return texts.drop("blocks").join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("key", "blocks"), F.col("blocks")).cast("int"))
+    large = shared_checkpoint(sizes.filter("blocks > 1"))
+    # Few labels are large, and the largest one's texts then need not meet in a task.
+    near = F.broadcast(large) if large.count() <= _MOST_LABELS else large
+    placed = texts.drop("blocks").join(near, "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return placed.withColumn("block", F.pmod(F.xxhash64("key", "blocks"), F.col("blocks")).cast("int"))
 
 
 def prefixes(texts: DataFrame, weights, threshold: float) -> DataFrame:
