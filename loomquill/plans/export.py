@@ -139,12 +139,15 @@ class Store:
         result.coalesce(1).write.mode("append").text(str(self.root / "log"))
 
 
-def file_status(lines: DataFrame, cursors: DataFrame) -> DataFrame:
+def file_status(lines: DataFrame, cursors: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Per file: ``file, line_count, line_number, state``: new, unchanged, grown, truncated or changed.
 
+    ``counts``: the files' ``line_count`` where it is known; else lines are counted.
+
     ``changed``: the cursor's last line no longer has its uuid and timestamp.
     """
-    counts = lines.groupBy("file").agg(F.count("*").alias("line_count"))
+    if counts is None:
+        counts = lines.groupBy("file").agg(F.count("*").alias("line_count"))
     c = cursors.select("file", "line_number", F.col("uuid").alias("c_uuid"), F.col("timestamp").alias("c_timestamp"))
     at = lines.join(c, "file").filter(F.col("line_num") == F.col("line_number") - 1)
     json = F.col("line")
@@ -183,11 +186,16 @@ def build(spark: SparkSession, paths: list[str], mode: str = "full", cursors: Da
     empty = [p for p in paths if not re.search(r"[*?\[{]", p) and not any(f == _plain(p) or f.startswith(_plain(p) + "/") for f in seen)]
     notes = [f"{p}: no conversation history" for p in empty]
     if mode == "incremental" and cursors is not None:
-        state = file_status(lines, cursors)
-        for r in state.filter("state in ('truncated', 'changed')").orderBy("file").collect():
-            notes.append(f"{r.file}: {r.state} since the last export, taken whole again; a full export is recommended")
-        start = state.filter("state <> 'unchanged'").withColumn("line_number", F.when(F.col("state") == "grown", F.col("line_number")).otherwise(0))
-        lines = transcripts.after_cursors(lines.join(start.select("file"), "file", "left_semi"), start)
+        state = file_status(lines, cursors, taken.select("file", F.col("line_number").alias("line_count"))).collect()  # a row a file
+        for r in sorted(state, key=lambda r: r.file):
+            if r.state in ("truncated", "changed"):
+                notes.append(f"{r.file}: {r.state} since the last export, taken whole again; a full export is recommended")
+        # Only files that have something new are read on; what follows a cursor is taken of those that grew.
+        start = spark.createDataFrame([(r.file, r.line_number if r.state == "grown" else 0) for r in state if r.state != "unchanged"], "file string, line_number long")
+        lines = transcripts.after_cursors(lines.filter(F.col("file").isin([r.file for r in state if r.state != "unchanged"])), F.broadcast(start))
+    tasks = spark.sparkContext.defaultParallelism
+    if len(paths) < tasks:  # a file is one task's, and few files would leave the others idle
+        lines = lines.repartition(tasks)
     decoded = transcripts.decode(lines)
     kept = extract.content_parts(extract.keep_conversation(transcripts.entries(decoded)))
     if budget is not None:
@@ -196,7 +204,8 @@ def build(spark: SparkSession, paths: list[str], mode: str = "full", cursors: Da
     numbered = turns.number_turns(sized, paired=paired)
     packed = pack.pack(numbered.select("file", "line_num", "type", "timestamp", "uuid", "parts", "turn_id", "tokens"), "file", "line_num", config)
     chunk_stats = pack.chunk_stats(packed, "file", "timestamp")
-    counted = stats.counters(decoded)
+    counters = stats.counters(decoded)
+    counted = spark.createDataFrame(counters.collect(), counters.schema)  # one row, counted once
     bad = counted.first().malformed_lines
     if bad:
         notes.append(f"{bad} malformed lines left out")
@@ -264,6 +273,14 @@ def run(store: Store, paths: list[str], mode: str = "full", retries: int = 1, ex
     check_python()
     began = time.time()
     made = build(store.spark, paths, mode, store.cursors() if mode == "incremental" else None, **options)
+    made.packed.persist()  # read for the chunks' stats, their turns and the checks
+    try:
+        return _finish(store, made, mode, retries, extractor, began)
+    finally:
+        made.packed.unpersist()
+
+
+def _finish(store: Store, made: Export, mode: str, retries: int, extractor: Extractor | None, began: float) -> Export:
     check_space(store.root, 2 * (made.cursors.agg(F.sum("size_bytes")).first()[0] or 0))
     validate(made)
     target = store.root / "chunks" / ("chunk" if mode == "full" else f"chunk-inc-{uuid.uuid4().hex[:8]}")
