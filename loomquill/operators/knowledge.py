@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import config as C
 from ..functions.columns import consumer, status_rank, word_set
+from .similar import compared, may_be_similar, signed
 
 KEY = ("category", "title_key")
 
@@ -60,28 +61,11 @@ def similar_pairs(rows: DataFrame, *block: str, id: str = "id", text: str = "tex
 
     Equal texts are one (their smallest id), so copies make no pairs.  Pairs
     meet only on a rare word: sets as alike as ``least`` share one of the first
-    ``n - ceil(least * n) + 1`` words in the order of rarity.
+    ``n - ceil(least * n) + 1`` words in the order of rarity.  Texts are dealt
+    out only where a bound of their overlap lets a pair pass, once for a neighbourhood.
     """
-    distinct = rows.groupBy(*block, text).agg(F.min(id).alias("id")).filter("id is not null")
-    sets = distinct.select(*block, "id", word_set(F.col(text)).alias("words"))
-    words = sets.select("id", *block, F.explode("words").alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    # Words in more than one text of a thousand: at most 1000 times the mean number of a text's words, so they can be
-    # broadcast; no other word is a hot key of the join.
-    often = counts.join(distinct.agg(F.count("*").alias("__texts")).hint("broadcast")).filter(F.col("n") * 1000 > F.col("__texts")).select("word", F.col("n").alias("often"))
-    known = words.join(F.broadcast(often), "word", "left").withColumn("key", F.when(F.col("often").isNull(), F.col("word")).otherwise(F.concat(F.lit("\0"), "id")))
-    counted = known.join(counts.withColumnRenamed("word", "key"), "key", "left").withColumn("n", F.coalesce("often", "n"))
-    ranked = counted.groupBy("id", *block).agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ordered"))
-    n = F.size("ordered")
-    first = F.slice("ordered", 1, (n - F.ceil(F.lit(least) * n) + 1).cast("int"))
-    # A word of one text meets none.
-    prefix = ranked.select(*block, "id", n.alias("size"), F.explode(F.filter(first, lambda x: x["n"] > 1)).alias("x")).select(*block, "id", "size", F.col("x.word").alias("word"))
-    other = prefix.select(*block, F.col("id").alias("id_b"), F.col("size").alias("size_b"), "word")
-    met = prefix.withColumnsRenamed({"id": "id_a", "size": "size_a"}).join(other, [*block, "word"]).filter((F.col("id_a") < F.col("id_b")) & (F.least("size_a", "size_b") > F.lit(least) * F.greatest("size_a", "size_b")))
-    pairs = met.select("id_a", "id_b").distinct()
-    sides = pairs.withColumn("id", F.explode(F.array("id_a", "id_b"))).join(sets.select("id", "words"), "id")
-    both = sides.groupBy("id_a", "id_b").agg(F.first(F.when(F.col("id") == F.col("id_a"), F.col("words")), True).alias("a"), F.first(F.when(F.col("id") == F.col("id_b"), F.col("words")), True).alias("b"))
-    return both.withColumn("similarity", similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") > least).select("id_a", "id_b", "similarity")
+    pairs = may_be_similar(signed(rows, id, text, least, *block), least, *block)
+    return compared(pairs, rows, id, text).filter(F.col("similarity") > least)
 
 
 def exact_groups(rows: DataFrame, *block: str, id: str = "id", text: str = "text") -> DataFrame:

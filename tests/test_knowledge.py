@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,28 @@ def test_scoped_syncs_and_incremental_extraction(spark, tmp_path):
     assert {(r.category, r.new) for r in told.collect()} == {("facts", 1)}
     kb = S.read_snapshot(spark, root)
     assert {(r.category, r.title, r.body) for r in kb.collect()} == {("facts", "Port", "8080"), ("facts", "Host", "local"), ("state", "Build", "green"), ("growth-notes", "Read", "more")}
+
+
+def test_near_dup_pairs_deals_out_few_bytes(spark, tmp_path):
+    """Words that make no pair stay where they are: less is shuffled than the texts are long."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{int(rng.paretovariate(0.5)) % 100000}" for _ in range(200)) for _ in range(1500)]
+    texts += [x + " more" for x in texts[:40]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = {(r.id_a, r.id_b) for r in Q.near_dup_pairs(spark, str(tmp_path)).collect()}
+    assert got == {(k, 1500 + k) for k in range(40)}
+    assert written() - before < sum(map(len, texts))
+
+
+def test_pairs_that_may_be_similar_lose_none(spark):
+    """Sizes at the bound of each length, words that only one text has, and wordless texts."""
+    texts = ["", "   ", "one"]
+    for n in (9, 10, 11, 19, 20, 21, 40, 95, 190):
+        base = [f"n{n}w{k}" for k in range(n)]
+        texts += [" ".join(base[: n - cut] + [f"n{n}x{extra}{k}" for k in range(extra)]) for cut in range(4) for extra in range(4)]
+    words = [set(x.split()) for x in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if words[a] and words[b] and len(words[a] & words[b]) / len(words[a] | words[b]) > 0.9}
+    got = K.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()
+    assert len(want) > 50 and {(r.id_a, r.id_b) for r in got} == want
