@@ -25,6 +25,7 @@ import hashlib
 import heapq
 import re
 import struct
+import threading
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import text as T
-from .spark import need
+from .spark import give_back, need
 
 MARK = "▁"
 _LINK = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
@@ -308,11 +309,33 @@ class Lattice:
 _lattices: dict[str, Lattice] = {}
 
 
+#: Seconds after a worker's last task here before its lattices are given back: other stages run in the same worker.
+_IDLE = 2.0
+_latest = 0
+
+
 def _lattice(v: Vocabulary) -> Lattice:
-    if v.key not in _lattices:
+    global _latest
+    _latest += 1
+    lattice = _lattices.get(v.key)
+    if lattice is None:
         _lattices.clear()
-        _lattices[v.key] = Lattice(v)
-    return _lattices[v.key]
+        lattice = _lattices[v.key] = Lattice(v)
+    return lattice
+
+
+def _done() -> None:
+    """A task has ended; if no other begins for a while, what the worker remembers goes."""
+    mine = _latest
+
+    def forget() -> None:
+        if mine == _latest:
+            _lattices.clear()
+            give_back()
+
+    timer = threading.Timer(_IDLE, forget)
+    timer.daemon = True
+    timer.start()
 
 
 def _lists(packed: list[bytes]) -> pa.Array:
@@ -364,6 +387,8 @@ def encode(docs: DataFrame, path: str, n: int = 4, with_ids: bool = False, with_
                     off = np.concatenate([[0], np.cumsum([len(packed) for packed, _, _ in got])]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(off), _lists([x for packed, _, _ in got for x in packed])))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        del lattice
+        _done()
 
     schema = "doc_id long, n_bytes long, n_pieces long, scores array<double>, ids_sha256 string, all_sha256 array<string>, round_trip boolean" + ", ids array<int>" * with_ids + ", all_ids array<array<int>>" * with_all
     return need(docs, doc_id="long", text="string").mapInArrow(run, schema)
@@ -380,5 +405,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(at, 256)
                 texts = [None if ids is None else lattice.decode(ids) for ids in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        del lattice
+        _done()
 
     return need(encoded, doc_id="long", ids="array<int>").mapInArrow(run, "doc_id long, text string")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,17 @@ def test_a_long_text_without_marks(spark):
     got = P.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), path, with_ids=True).first()
     assert time.time() - began < 60
     assert got.round_trip and len(got.scores) == 4 and got.scores == sorted(got.scores, reverse=True)
+
+
+def test_an_idle_worker_gives_its_lattices_back(monkeypatch):
+    """Other stages run in the same worker; a task that begins in time finds what is remembered."""
+    monkeypatch.setattr(P, "_IDLE", 0.5)
+    v = P.Vocabulary.load(tokenizer_path("piece_bpe_32k.model"))
+    first = P._lattice(v)
+    P._done()
+    assert P._lattice(v) is first
+    time.sleep(1.0)
+    assert P._lattices == {v.key: first}  # the second task still runs
+    P._done()
+    time.sleep(1.5)
+    assert not P._lattices
